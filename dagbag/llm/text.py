@@ -5,8 +5,10 @@ is one UTF-8 buffer plus offsets, so token borders and token hashes are numpy
 passes over bytes; no Python string is made for a token.
 
 A *word* is a maximal run of ASCII letters, ASCII digits and non-ASCII bytes
-of the lower-cased text (``mode="word"``), or a maximal run of bytes above
-0x20 of the text as it is (``mode="space"``).  A null text has no words.
+of the case-folded text (``mode="word"``), or a maximal run of bytes above
+0x20 of the text as it is (``mode="space"``).  Folding keeps every byte in its
+place, so borders are byte offsets into the original text.  A null text has no
+words.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; eight-byte work arrays are this times eight.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -91,11 +93,28 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - (offs[0] if len(offs) else 0), data
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and of the two-byte Latin-1 letters; length is kept."""
+    out = data.copy()
+    np.add(out, 32, out=out, where=(data >= 65) & (data <= 90))
+    lead = np.flatnonzero(data[:-1] == 0xC3) + 1
+    lead = lead[(data[lead] >= 0x80) & (data[lead] <= 0x9E) & (data[lead] != 0x97)]
+    out[lead] += 0x20
+    return out
+
+
+def chars(data: np.ndarray) -> np.ndarray:
+    """For each byte offset (and the end) the number of characters before it."""
+    c = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=c[1:])
+    return c
+
+
 @dataclass
 class Words:
     """Words of a batch; ``first[d]:first[d+1]`` are those of text d."""
 
-    data: np.ndarray  # bytes that the borders refer to (lower-cased in mode "word")
+    data: np.ndarray  # bytes that the borders refer to (folded in mode "word")
     doc: np.ndarray  # byte offset of each text, one more at the end
     first: np.ndarray
     start: np.ndarray
@@ -110,10 +129,9 @@ class Words:
 
 
 def words(texts: pa.Array, mode: str = "word") -> Words:
-    texts = pc.fill_null(texts, "")
+    doc, data = buffers(pc.fill_null(texts, ""))
     if mode == "word":
-        texts = pc.utf8_lower(texts)
-    doc, data = buffers(texts)
+        data = fold(data)
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = _CLASS[mode][data]
     edge = np.diff(inside)
