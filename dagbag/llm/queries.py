@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dagbag.llm import packing, quality
+from dagbag.llm import decontaminate, packing, quality, sstable, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,14 +15,29 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.bundles(read(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.shards(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_warc": op8_warc,
     "op9_quality": op9_quality,
+    "op10_sstable": op10_sstable,
 }
 
 #: DuckDB SQL of those that SQL can express; the others have brute-force tests.
