@@ -86,7 +86,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def first_labels(labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", classes=(0, 1)) -> DataFrame:
+def first_labels(labels: DataFrame, label: str, per_class: int | tuple[int, ...], id_col: str = "doc_id", classes=(0, 1)) -> DataFrame:
     """At most ``per_class`` labelled ids of each class, in order of a hash.
 
     A null id or label is left out; an id with several labels has the lowest.
@@ -97,7 +97,8 @@ def first_labels(labels: DataFrame, label: str, per_class: int, id_col: str = "d
         .groupBy("id")
         .agg(F.min("y").alias("y"))
     )
-    parts = [one.filter(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in classes]
+    bounds = per_class if isinstance(per_class, tuple) else (per_class,) * len(classes)
+    parts = [one.filter(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(n) for c, n in zip(classes, bounds)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
