@@ -2,61 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dagbag.llm import text as tx
-
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a local master may lack the setting; it then gets a temporary folder
-    that goes when the process ends.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if "dir" not in _local:
-        _local["dir"] = tempfile.mkdtemp(prefix="dagbag-")
-        atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
-    return "file://" + _local["dir"]
-
-
-def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: no lineage is left."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/dagbag-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._dagbag_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`cut` that nothing reads any more."""
-    path = getattr(df, "_dagbag_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
-
-
+from dagbag.plans.lineage import cut, drop, shared_dir  # noqa: F401
 def local_path(path: str) -> str:
     return urlparse(path).path if path.startswith("file:") else path
 
@@ -103,6 +57,3 @@ def first_labels(labels: DataFrame, label: str, per_class: int | tuple[int, ...]
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
-
-
-ID = T.LongType()
