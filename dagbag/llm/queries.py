@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dagbag.llm import decontaminate, packing, quality, simhash, sstable, toxicity, warc
+from dagbag.llm import decontaminate, linededup, packing, quality, simhash, sstable, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_linededup": op3_linededup,
     "op5_simhash": op5_simhash,
     "op7_decontaminate": op7_decontaminate,
     "op8_warc": op8_warc,
