@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dagbag.llm import decontaminate, linededup, packing, quality, simhash, sstable, toxicity, warc
+from dagbag.llm import decontaminate, linededup, lm, packing, quality, simhash, sstable, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(read(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lm.score(read(spark, sf_dir, "documents"))
+    return s.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"))
 
@@ -49,6 +55,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
     "op3_linededup": op3_linededup,
+    "op4_lm": op4_lm,
     "op5_simhash": op5_simhash,
     "op7_decontaminate": op7_decontaminate,
     "op8_warc": op8_warc,
@@ -57,4 +64,6 @@ QUERIES = {
 }
 
 #: DuckDB SQL of those that SQL can express; the others have brute-force tests.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_lm": lm.ORACLE,
+}
