@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagbag.llm import decontaminate, linededup, lm, packing, quality, simhash, sstable, toxicity, warc
+from dagbag.llm import chroma, decontaminate, linededup, lm, packing, quality, simhash, sstable, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"))
 
 
+def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.matches(read(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_linededup": op3_linededup,
     "op4_lm": op4_lm,
     "op5_simhash": op5_simhash,
+    "op6_chroma": op6_chroma,
     "op7_decontaminate": op7_decontaminate,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
