@@ -16,7 +16,7 @@ n-grams, both in blocks:
 3. A chunk puts the answers beside its keys and sums the scores by document.
 
 Every n-gram occurrence is counted and looked up, but what is shuffled is one
-four-byte difference for each different n-gram of a chunk on the way there, and
+difference of about four bytes for each different n-gram of a chunk on the way there, and
 about a byte on the way back.  Steps 1 and 3 read one shuffle of the documents.
 """
 
@@ -38,7 +38,7 @@ MIN_COUNT = 2
 CHUNK_TOKENS = 1_000_000
 BUCKET_KEYS = 1_000_000
 #: Bits of a key within its bucket.
-WIDTH = 42
+WIDTH = 40
 _LOW = np.uint64((1 << WIDTH) - 1)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -78,17 +78,19 @@ def unpack_counts(raw: bytes, n: int) -> np.ndarray:
 
 
 def pack_keys(k: np.ndarray) -> bytes:
-    """Sorted different keys: four-byte differences, or eight bytes each if one is longer."""
+    """Sorted different keys: how many bytes a difference needs, the first, the differences."""
     d = np.diff(k)
-    if len(d) and d.max() >> np.uint64(32):
-        return b"\1" + k.tobytes()
-    return b"\0" + k[:1].tobytes() + d.astype(np.uint32).tobytes()
+    width = max(1, -(-int(d.max(initial=np.uint64(0))).bit_length() // 8))
+    return bytes([width]) + k[:1].tobytes() + d.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    if raw[0]:
-        return np.frombuffer(raw, np.uint64, offset=1)
-    return np.cumsum(np.concatenate([np.frombuffer(raw, np.uint64, 1, offset=1), np.frombuffer(raw, np.uint32, offset=9).astype(np.uint64)]), dtype=np.uint64)
+    width = raw[0]
+    body = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    d = np.zeros((len(body) + 1, 8), np.uint8)
+    d[0] = np.frombuffer(raw, np.uint8, 8, offset=1)
+    d[1:, :width] = body
+    return np.cumsum(d.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def log_scores(first: np.ndarray, place: np.ndarray, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total: int, backoff: float, min_count: int) -> np.ndarray:
