@@ -16,7 +16,7 @@ n-grams, both in blocks:
 3. A chunk puts the answers beside its keys and sums the scores by document.
 
 Every n-gram occurrence is counted and looked up, but what is shuffled is one
-difference of about four bytes for each different n-gram of a chunk on the way there, and
+difference of about five bytes for each different n-gram of a chunk on the way there, and
 about a byte on the way back.  Steps 1 and 3 read one shuffle of the documents.
 """
 
@@ -37,8 +37,10 @@ BACKOFF = 0.4
 MIN_COUNT = 2
 CHUNK_TOKENS = 1_000_000
 BUCKET_KEYS = 1_000_000
-#: Bits of a key within its bucket.
-WIDTH = 40
+#: Bits of a key within its bucket; with those of the bucket they are at least 48
+#: and 64 at most.  Of n different n-grams one shares its key with another with
+#: probability n / 2**(WIDTH + bits): under 1e-6 from thousands to 10**13.
+WIDTH = 48
 _LOW = np.uint64((1 << WIDTH) - 1)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
