@@ -253,9 +253,9 @@ def token_labels(w: tx.Words, word: np.ndarray, heads: list[np.ndarray], toxic:
 
 
 def unlike(w: tx.Words, word: np.ndarray) -> np.ndarray:
-    """Texts of which none before has the same three smallest word hashes."""
+    """Texts of which none before has the same three smallest hashes of word pairs."""
     seen, keep = set(), []
-    h = tx.splitmix(word)
+    h = tx.mix(np.roll(word, 1) * np.uint64(5) + word)
     for d in range(len(w.first) - 1):
         sketch = tuple(np.unique(h[w.first[d] : w.first[d + 1]])[:3].tolist())
         if sketch not in seen:
