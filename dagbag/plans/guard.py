@@ -55,7 +55,9 @@ class Watched(History):
         return out
 
     def index(self) -> DataFrame:
-        return self.hooks.at_index(self, History.index(self))
+        plain = Watched.of(self, self.hooks)
+        plain.inside = True
+        return self.hooks.at_index(plain, History.index(self))
 
 
 def _watch(name: str, binary: bool) -> Callable:
@@ -74,7 +76,7 @@ def _watch(name: str, binary: bool) -> Callable:
         mine = Watched.of(mine, hooks)
         mine.inside = True
         out = Watched.of(plain(mine, *args, **kwargs), hooks)
-        out.inside = False
+        out.inside = True  # what the hook does isn't watched
         out = Watched.of(hooks.after(name, out), hooks)
         out.inside = False
         return out

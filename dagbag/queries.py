@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dagbag import fixtures as fx
 from dagbag.functions import text
@@ -165,7 +166,7 @@ def tmap_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.brands(spark, sf_dir).tmap(last, LINEAR).values()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _last_letter(keys: pd.Series) -> pd.Series:
     return keys.str[-1]
 
