@@ -379,3 +379,21 @@ def clean(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_co
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     new = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(left))
     return new.filter(F.col("__gone").isNull() | F.col(text_col).rlike("[^\\x00-\\x20]")).select(docs.columns)
+
+
+#: The same report in DuckDB, by comparing all lines of like length.
+ORACLE = r"""
+with pieces as (
+  select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as line from documents
+), lines as (
+  select doc_id, line, x, length(x) as n from pieces where regexp_matches(x, '[^\x00-\x20]')
+), firsts as (
+  select x, any_value(n) as n, min(struct_pack(d := doc_id, l := line)) as p from lines group by x
+), near as (
+  select b.x, min(struct_pack(p := a.p, e := levenshtein(a.x, b.x))) as k from firsts a join firsts b
+  on a.n between b.n - 2 and b.n + 2 and a.p < b.p and least(a.n, b.n) >= 24 and levenshtein(a.x, b.x) <= 2 group by b.x
+)
+select doc_id, cast(line as int) as line, coalesce(k.p.d, f.p.d) as keep_id, cast(coalesce(k.p.l, f.p.l) as int) as keep_line, cast(coalesce(k.e, 0) as int) as edits
+from lines join firsts f using (x) left join near using (x)
+where k is not null or f.p <> struct_pack(d := doc_id, l := line)
+"""

@@ -70,5 +70,6 @@ QUERIES = {
 
 #: DuckDB SQL of those that SQL can express; the others have brute-force tests.
 ORACLE_SQL: dict[str, str] = {
+    "op3_linededup": linededup.ORACLE,
     "op4_lm": lm.ORACLE,
 }
