@@ -7,35 +7,44 @@ round.  Numbering of rows is by ranges; no window gathers a table in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dagbag.plans.components import components
 from dagbag.plans.lineage import cut, drop
 
+#: Levels that a search goes down before its result is written.
+STEPS = 4
+
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): the length of the longest path that ends at the node.
 
     Raises ValueError if the graph has a cycle.
     """
-    edges = cut(edges.select("src", "dst").distinct())
+    edges = edges.select("src", "dst").distinct()
     roots = nodes.select("node").join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
-    found = cut(roots.withColumn("level", F.lit(0)))
-    frontier, parts, level, n = found, [found], 0, nodes.count()
+    frontier, parts, level = roots.distinct().withColumn("level", F.lit(0)), [], 0
+    n = nodes.distinct().count()
     while True:
-        level += 1
+        # some steps a round, so that a deep graph isn't a written table a level
+        steps = [frontier]
+        for _ in range(STEPS):
+            level += 1
+            steps.append(steps[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(level)))
+        new = cut(reduce(DataFrame.unionAll, steps if not parts else steps[1:]))
+        parts.append(new)
+        frontier = new.filter(F.col("level") == level)
+        if frontier.isEmpty():
+            break
         if level > n:
             raise ValueError("the graph has a cycle")
-        new = cut(frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(level)))
-        if new.isEmpty():
-            break
-        parts.append(new)
-        frontier = new
         if len(parts) == 16:
             parts = [cut(_highest(parts))]
     out = _highest(parts)
-    if n and out.count() < nodes.distinct().count():
+    if out.count() < n:
         raise ValueError("the graph has a cycle")
     return out
 
@@ -196,8 +205,8 @@ def contract(nodes: DataFrame, edges: DataFrame, contraction: DataFrame, remove_
         redundant = None
         if remove_bypass:
             redundant = cut(bypass(nodes, edges, level))
+            # longest paths, and so levels, are the same without them
             edges = cut(edges.join(redundant, ["src", "dst"], "left_anti"))
-            level = cut(levels(nodes, edges))
         end = "dst" if into else "src"
         alone = edges.groupBy(end).count().filter("count = 1").select(end)
         chosen = cut(edges.join(contraction, ["src", "dst"], "left_semi").join(alone, end, "left_semi"))
