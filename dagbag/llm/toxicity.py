@@ -45,23 +45,45 @@ EPOCHS = 5
 THRESHOLD, DOC_THRESHOLD = 0.5, 0.9
 
 
-def token_hashes(w: tx.Words) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(word, its beginnings, its end) hashes of every token."""
-    p = tx.prefix_hash(w.data)
-    word = tx.range_hash(p, w.start, w.end)
-    heads = [tx.range_hash(p, w.start, np.minimum(w.end, w.start + k)) for k in PREFIXES]
-    return word, heads, tx.range_hash(p, np.maximum(w.start, w.end - 3), w.end)
+@dataclass
+class Tokens:
+    """Hashes of the words of texts, of their beginnings and of their ends;
+    ``first[d]:first[d+1]`` are those of text d."""
+
+    first: np.ndarray
+    word: np.ndarray
+    heads: list[np.ndarray]
+    tail: np.ndarray
 
+    @classmethod
+    def of(cls, w: tx.Words) -> Tokens:
+        p = tx.prefix_hash(w.data)
+        heads = [tx.range_hash(p, w.start, np.minimum(w.end, w.start + k)) for k in PREFIXES]
+        return cls(w.first, tx.range_hash(p, w.start, w.end), heads, tx.range_hash(p, np.maximum(w.start, w.end - 3), w.end))
 
-def features(w: tx.Words, word: np.ndarray, heads: list[np.ndarray], tail: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
-    """Feature numbers of every token, one array a template."""
-    shift = np.uint64(64 - bits)
-    edge = np.zeros(len(word), bool)
-    edge[w.first[:-1][np.diff(w.first) > 0]] = True
-    before, after = np.roll(word, 1), np.roll(word, -1)
-    before[edge] = 0
-    after[np.roll(edge, -1)] = 0
-    return [(tx.splitmix(h + np.uint64(i + 1)) >> shift).astype(np.int32) for i, h in enumerate([word, *heads, tail, before, after])]
+    @classmethod
+    def of_many(cls, texts: pa.Array) -> Tokens:
+        """The same, by pieces: arrays of eight bytes a character stay small."""
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [cls.of(tx.words(p.column(0))) for p in tx.pieces([batch], limit=1 << 20)]
+        if not parts:
+            parts = [cls.of(tx.words(texts))]
+        size = np.concatenate([np.diff(p.first) for p in parts])
+        join = lambda xs: np.concatenate(list(xs))
+        return cls(np.concatenate([[0], np.cumsum(size)]), join(p.word for p in parts), [join(p.heads[i] for p in parts) for i in range(len(PREFIXES))], join(p.tail for p in parts))
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def features(self, bits: int) -> list[np.ndarray]:
+        """Feature numbers of every token, one array a template."""
+        shift = np.uint64(64 - bits)
+        edge = np.zeros(len(self.word), bool)
+        edge[self.first[:-1][np.diff(self.first) > 0]] = True
+        before, after = np.roll(self.word, 1), np.roll(self.word, -1)
+        before[edge] = 0
+        after[np.roll(edge, -1)] = 0
+        return [(tx.splitmix(h + np.uint64(i + 1)) >> shift).astype(np.int32) for i, h in enumerate([self.word, *self.heads, self.tail, before, after])]
 
 
 @dataclass
@@ -217,7 +239,7 @@ def train(feats: list[np.ndarray], first: np.ndarray, y: np.ndarray, bits: int =
     return m
 
 
-def token_labels(w: tx.Words, word: np.ndarray, heads: list[np.ndarray], toxic: np.ndarray, ratio: float = 10.0, level: float = 20.0) -> np.ndarray:
+def token_labels(x: Tokens, toxic: np.ndarray, ratio: float = 10.0, level: float = 20.0) -> np.ndarray:
     """Token labels from labels of texts.
 
     A word or beginning found in c1 of n1 toxic and c0 of n0 clean texts counts
@@ -225,12 +247,12 @@ def token_labels(w: tx.Words, word: np.ndarray, heads: list[np.ndarray], toxic:
     have a probability under ``exp(-level)`` at the rate of the toxic ones.  For
     c1, occurrences between the same two neighbours count once.
     """
-    owner = w.owner()
+    owner, word = x.owner(), x.word
     n = [max(1, int((toxic == k).sum())) for k in (0, 1)]
     context = tx.mix(np.roll(word, 1) * np.uint64(3) + np.roll(word, -1))
     mine = toxic[owner] == 1
     y = np.zeros(len(word), bool)
-    for h in (word, *heads[1:]):
+    for h in (word, *x.heads[1:]):
         key, inv = np.unique(h, return_inverse=True)
         docs = np.unique(inv * np.int64(len(toxic)) + owner)
         bad = toxic[docs % len(toxic)] == 1
@@ -252,12 +274,12 @@ def token_labels(w: tx.Words, word: np.ndarray, heads: list[np.ndarray], toxic:
     return y
 
 
-def unlike(w: tx.Words, word: np.ndarray) -> np.ndarray:
+def unlike(x: Tokens) -> np.ndarray:
     """Texts of which none before has the same three smallest hashes of word pairs."""
     seen, keep = set(), []
-    h = tx.mix(np.roll(word, 1) * np.uint64(5) + word)
-    for d in range(len(w.first) - 1):
-        sketch = tuple(np.unique(h[w.first[d] : w.first[d + 1]])[:3].tolist())
+    h = tx.mix(np.roll(x.word, 1) * np.uint64(5) + x.word)
+    for d in range(len(x.first) - 1):
+        sketch = tuple(np.unique(h[x.first[d] : x.first[d + 1]])[:3].tolist())
         if sketch not in seen:
             keep.append(d)
         seen.add(sketch)
@@ -268,23 +290,19 @@ def fit_texts(texts: pa.Array, toxic: np.ndarray, bits: int = BITS) -> Model | N
     """Model from labelled texts; None where a class is missing or no token stands
     out.  Of near copies one is used."""
     toxic = np.asarray(toxic)
-    w = tx.words(texts)
-    keep = unlike(w, w.hashes())
+    keep = unlike(Tokens.of_many(texts))
     texts, toxic = texts.take(pa.array(keep)), toxic[keep]
     if len(np.unique(toxic)) < 2:
         return None
-    w = tx.words(texts)
-    word, heads, tail = token_hashes(w)
-    y = token_labels(w, word, heads, toxic)
+    x = Tokens.of_many(texts)
+    y = token_labels(x, toxic)
     if not y.any():
         return None
-    owner = w.owner()
-    del w, word, heads, tail
     clean = np.flatnonzero(toxic == 0)[: max(2000, 2 * int(toxic.sum()))]
     use = np.sort(np.concatenate([np.flatnonzero(toxic == 1), clean]))
-    y = y[np.isin(owner, use)]
-    w = tx.words(texts.take(pa.array(use)))
-    return train(features(w, *token_hashes(w), bits), w.first, y, bits)
+    y = y[np.isin(x.owner(), use)]
+    x = Tokens.of_many(texts.take(pa.array(use)))
+    return train(x.features(bits), x.first, y, bits)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model | None:
@@ -308,7 +326,7 @@ def tag(texts: pa.Array, model: Model, threshold: float = THRESHOLD, doc_thresho
     w = tx.words(texts)
     if not len(w.start):
         return []
-    p = model.marginals(features(w, *token_hashes(w), model.bits), w.first)
+    p = model.marginals(Tokens.of(w).features(model.bits), w.first)
     bad = p >= threshold
     at = np.flatnonzero(bad)
     if not len(at):
