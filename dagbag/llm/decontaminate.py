@@ -9,8 +9,9 @@ windows, joined over gaps of up to ``gap`` words, are the spans to remove; a
 document of which ``drop_share`` of the words are in spans goes altogether.
 
 The set is broadcast only while the benchmark has at most ``BROADCAST_BYTES`` of
-text.  A larger one is cut into parts of that size, and documents are scanned
-once a part; spans of all parts are merged before anything is removed.
+text.  A larger one is cut into parts of that size, one at a time is on the
+executors, and documents are scanned once a part; the spans that the parts find
+are merged by document and joined to the texts before anything is removed.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ N = 8
 MIN_WORDS = 5
 GAP = 4
 DROP_SHARE = 0.5
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 8 << 20
 _FILTER_BITS = 22
 
 
@@ -132,44 +133,81 @@ def spans(texts: pa.Array, g: Grams, gap: int = GAP) -> dict[int, tuple[list, in
     return out
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str, n: int, min_words: int, limit: int) -> list[Grams]:
-    rows = frames.inputs(benchmark, (item_col, "bigint"), (text_col, "string")).filter(F.col(text_col).isNotNull())
-    rows = rows.withColumn(item_col, F.coalesce(F.col(item_col), F.lit(-1).cast("bigint")))
-    total = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+def _items(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[DataFrame]:
+    """(item, text) of the benchmark, in parts of at most about ``limit`` bytes."""
+    rows = benchmark.select(F.coalesce(benchmark[item_col].cast("bigint"), F.lit(-1).cast("bigint")).alias("item"), benchmark[text_col].cast("string").alias("text")).filter("text is not null")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     k = max(1, -(-total // limit))
-    out = []
-    for i in range(k):
-        part = rows if k == 1 else rows.filter(F.pmod(F.xxhash64(text_col), F.lit(k)) == i)
-        t = part.toArrow()
-        out.append(grams(t.column(0).to_numpy(), t.column(1).combine_chunks(), n, min_words))
-    return out
+    return [rows if k == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(k)) == i) for i in range(k)]
 
 
-def _found(docs: DataFrame, parts: list[Grams], text_col: str, gap: int, change, schema) -> DataFrame:
-    """``change(batch, {row: spans})`` for pieces of ``docs``; one scan."""
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(g) for g in parts]
-    at = docs.columns.index(text_col)
+def _grams(part: DataFrame, n: int, min_words: int) -> Grams:
+    t = part.toArrow()
+    return grams(t["item"].to_numpy(), t["text"].combine_chunks(), n, min_words)
 
-    def make(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = pc.cast(b.column(at), pa.string())
-        seen: dict[int, tuple[list, int, int, list]] = {}
-        for g in shared:
-            for d, new in spans(texts, g.value, gap).items():
-                seen[d] = _both(seen[d], new) if d in seen else new
-        return change(b, texts, seen)
 
-    return frames.with_text(docs, make, schema, text_col)
+_SPANS = "doc_id bigint, th bigint, spans array<struct<s:bigint,e:bigint>>, items array<bigint>"
 
 
-def _both(a, b):
-    merged: list[list[int]] = []
-    for s, e in sorted(a[0] + b[0]):
-        if merged and s <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], e)
+def _found(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, gap: int, limit: int, id_col: str, text_col: str, item_col: str, bench_text_col: str, change, schema) -> DataFrame:
+    """``change(batch, texts, {row: spans})`` for pieces of ``docs``."""
+    parts = _items(benchmark, item_col, bench_text_col, limit)
+    sc = docs.sparkSession.sparkContext
+    at = docs.columns.index(text_col)
+    if len(parts) == 1:
+        shared = sc.broadcast(_grams(parts[0], n, min_words))
+
+        def make(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts = pc.cast(b.column(at), pa.string())
+            return change(b, texts, spans(texts, shared.value, gap))
+
+        return frames.with_text(docs, make, schema, text_col)
+
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    every = None
+    for part in parts:
+        shared = sc.broadcast(_grams(part, n, min_words))
+
+        def look(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            seen = spans(b.column(2), shared.value, gap)
+            own = pa.array(list(seen), pa.int64())
+            pair = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+            return pa.RecordBatch.from_arrays(
+                [b.column(0).take(own), b.column(1).take(own), pa.array([[{"s": s, "e": e} for s, e in x[0]] for x in seen.values()], pair), pa.array([x[3] for x in seen.values()], pa.list_(pa.int64()))],
+                ["doc_id", "th", "spans", "items"],
+            )
+
+        hit = frames.cut(frames.with_text(rows, look, _SPANS))
+        shared.unpersist()
+        every = hit if every is None else every.unionAll(hit)
+    merged = every.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))
+    cond = F.xxhash64(text).eqNullSafe(merged["__th"]) & docs[id_col].cast("bigint").eqNullSafe(merged["__id"])
+    joined = docs.join(merged, cond, "left").select(*docs.columns, "__spans", "__items")
+
+    def put(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, k = pc.cast(b.column(at), pa.string()), b.num_columns - 2
+        seen = {}
+        for d in np.flatnonzero(pc.is_valid(b.column(k)).to_numpy(zero_copy_only=False)).tolist():
+            w = tx.words(texts.slice(d, 1))
+            cuts = _joined(w, [(x["s"], x["e"]) for x in b.column(k)[d].as_py()], gap)
+            bad = sum(int(np.searchsorted(w.start, e) - np.searchsorted(w.start, s)) for s, e in cuts)
+            seen[d] = (cuts, bad, len(w.start), b.column(k + 1)[d].as_py())
+        plain = pa.RecordBatch.from_arrays(b.columns[:k], schema=pa.schema(list(b.schema)[:k]))
+        return change(plain, texts, seen)
+
+    return frames.with_text(joined, put, schema, text_col)
+
+
+def _joined(w: tx.Words, cuts: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
+    """Sorted spans of one text merged over gaps of up to ``gap`` words."""
+    out: list[list[int]] = []
+    for s, e in sorted(cuts):
+        if out and int(np.searchsorted(w.start, s) - np.searchsorted(w.start, out[-1][1])) <= gap:
+            out[-1][1] = max(out[-1][1], e)
         else:
-            merged.append([s, e])
-    return ([tuple(x) for x in merged], min(a[2], a[1] + b[1]), a[2], sorted({*a[3], *b[3]}))
+            out.append([s, e])
+    return [(s, e) for s, e in out]
 
 
 def _without(raw: bytes, cuts: list[tuple[int, int]]) -> str:
@@ -184,7 +222,7 @@ def _without(raw: bytes, cuts: list[tuple[int, int]]) -> str:
 REPORT = "doc_id bigint, action string, items array<bigint>, n_words bigint, n_contaminated bigint, spans array<struct<start:bigint,end:bigint>>, text string"
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS, gap: int = GAP, drop_share: float = DROP_SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", limit: int = BROADCAST_BYTES) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS, gap: int = GAP, drop_share: float = DROP_SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each contaminated row of ``docs``: what is done to it.
 
     ``action`` is "remove document" (text null) or "remove spans" (text is what
@@ -194,7 +232,6 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = M
     item texts and items of fewer than ``min_words`` words are ignored; with an
     empty benchmark nothing is listed.  Other columns are ignored.
     """
-    parts = _parts(benchmark, item_col, text_col, n, min_words, limit)
 
     def change(b, texts, seen):
         rows = []
@@ -209,7 +246,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = M
         return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     rows = frames.inputs(docs, (id_col, "bigint"), (text_col, "string"))
-    return _found(rows, parts, text_col, gap, change, REPORT)
+    return _found(rows, benchmark, n, min_words, gap, limit, id_col, text_col, item_col, bench_text_col, change, REPORT)
 
 
 _ARROW = pa.schema([
@@ -218,9 +255,8 @@ _ARROW = pa.schema([
 ])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS, gap: int = GAP, drop_share: float = DROP_SHARE, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS, gap: int = GAP, drop_share: float = DROP_SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` (all its columns) after the actions that :func:`report` lists."""
-    parts = _parts(benchmark, item_col, bench_text_col, n, min_words, limit)
     at = docs.columns.index(text_col)
 
     def change(b, texts, seen):
@@ -239,4 +275,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MI
             texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([new[d] for d in sorted(new)], pa.string()))
         return b.set_column(at, b.schema.field(at), texts).filter(pa.array(keep))
 
-    return _found(docs, parts, text_col, gap, change, docs.schema)
+    return _found(docs, benchmark, n, min_words, gap, limit, id_col, text_col, item_col, bench_text_col, change, docs.schema)

@@ -35,6 +35,8 @@ from dagbag.llm import text as tx
 
 BACKOFF = 0.4
 MIN_COUNT = 2
+#: Words of a chunk and different n-grams of a bucket; each is one group in a
+#: Python worker (about 100 bytes a word), to be raised with executors' memory.
 CHUNK_TOKENS = 1_000_000
 BUCKET_KEYS = 1_000_000
 #: Bits of a key within its bucket; with those of the bucket they are at least 48
@@ -126,9 +128,9 @@ def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT,
     """
     total = _count_words(docs, text_col)
     chunks = max(1, math.ceil(total / chunk_tokens))
-    bits = min(16, max(0, math.ceil(math.log2(max(1, 1.7 * total / bucket_keys)))))
+    bits = min(20, max(0, math.ceil(math.log2(max(1, 1.7 * total / bucket_keys)))))
     rows = frames.inputs(docs, (id_col, "bigint"), (text_col, "string")).toDF("doc_id", "text")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition("chunk")
 
     def ask(t: pa.Table) -> pa.Table:
         _, _, keys = chunk_keys(t["text"].combine_chunks(), bits)

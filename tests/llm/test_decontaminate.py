@@ -67,6 +67,8 @@ def test_clean_applies_the_report(spark):
         else:
             assert left[d] == (report[d].text if d in report else t)
             assert not brute(left[d])[0]
+    parts = decontaminate.clean(df, benchmark(spark), limit=60)
+    assert parts.columns == df.columns and {r.doc_id: r.text for r in parts.collect()} == left
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
