@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,14 +38,25 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._dagbag_path = path
+    _made.append(path)
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all tables that :func:`cut` has made in this process; to be called
+    when no DataFrame that reads them is needed any more."""
+    while _made:
+        _remove(spark, _made.pop())
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of a table made by :func:`cut` that nothing reads any more."""
     path = getattr(df, "_dagbag_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
+    if path in _made:
+        _made.remove(path)
+        _remove(df.sparkSession, path)

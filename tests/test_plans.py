@@ -65,6 +65,7 @@ def test_cut_tables(spark):
     df = cut(spark.range(5))
     assert df.count() == 5 and "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
     drop(df)
+    drop(df)  # a second time does nothing
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert shared_dir(spark) == (named.rstrip("/") if named else shared_dir(spark))
 
