@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dagbag.operators.history import History
+from dagbag.sources.git import Repositories
 
 #: The tables in SQL, to put in front of an oracle.
 ORACLE = """
@@ -90,3 +91,32 @@ def documents(spark: SparkSession, sf_dir: str) -> History:
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.col("text").alias("key"), F.lit(1).cast("bigint").alias("val"))
     none = rows.select(F.col("node").alias("src"), F.col("node").alias("dst")).filter(F.lit(False))
     return History.from_frames(rows.select("node"), none, rows, ["key"], normal=True)
+
+
+#: The repository below in SQL, after ``ORACLE``.
+REPOSITORY_ORACLE = """
+c as (select cast(o_orderkey as varchar) as sha, o_orderkey as node, cast(epoch(o_orderdate) as bigint) as time, o_orderstatus as author_name, concat(o_custkey, '@shop') as author_mail,
+  concat(o_orderpriority, case when o_orderstatus = 'F' then ' fixes an Issue' else ' adds a prefix' end) as message from orders),
+t as (select cast(l_orderkey as varchar) as sha, concat('src/', l_linenumber, case when l_suppkey % 2 = 0 then '.java' else '.txt' end) as path, cast(l_partkey as varchar) as object_id from lineitem),
+f as (select cast(p_partkey as varchar) as object_id, concat('if ', p_name, chr(10), '// ', p_type, chr(10), 'for ', p_brand, chr(10)) as content from part),
+ce as (select cast(src as varchar) as src, cast(dst as varchar) as dst from e union all select null, cast(node as varchar) from n where node not in (select dst from e))
+""".strip()
+
+
+def repository(spark: SparkSession, sf_dir: str) -> Repositories:
+    """Orders as commits of one repository, their items as files, parts as contents."""
+    orders = read(spark, sf_dir, "orders")
+    above = edges(spark, sf_dir).groupBy(F.col("dst").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.col("src").cast("string"))).alias("parents"))
+    note = F.when(F.col("o_orderstatus") == "F", " fixes an Issue").otherwise(" adds a prefix")
+    commits = orders.join(above, "o_orderkey", "left").select(
+        F.lit("shop").alias("address"), F.col("o_orderkey").cast("string").alias("sha"), F.unix_seconds(F.from_utc_timestamp(F.col("o_orderdate").cast("timestamp"), F.current_timezone())).alias("time"),
+        F.concat("o_orderpriority", note).alias("message"), F.col("o_orderstatus").alias("author_name"), F.concat(F.col("o_custkey").cast("string"), F.lit("@shop")).alias("author_mail"),
+        F.coalesce("parents", F.array().cast("array<string>")).alias("parents"),
+    )
+    kind = F.when(F.col("l_suppkey") % 2 == 0, ".java").otherwise(".txt")
+    trees = read(spark, sf_dir, "lineitem").select(
+        F.lit("shop").alias("address"), F.col("l_orderkey").cast("string").alias("sha"), F.concat(F.lit("src/"), F.col("l_linenumber").cast("string"), kind).alias("path"), F.col("l_partkey").cast("string").alias("object_id")
+    )
+    content = F.concat(F.lit("if "), "p_name", F.lit("\n// "), "p_type", F.lit("\nfor "), "p_brand", F.lit("\n"))
+    blobs = read(spark, sf_dir, "part").select(F.lit("shop").alias("address"), F.col("p_partkey").cast("string").alias("object_id"), F.encode(content, "UTF-8").alias("content"))
+    return Repositories(commits, trees, blobs)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dagbag import apps
 from dagbag import fixtures as fx
 from dagbag.functions import text
 from dagbag.functions.groups import DOUBLE, map_add, map_invert, map_multiply
@@ -457,11 +458,17 @@ _of_documents("fn_split_camel_case", text.split_camel_case, r"regexp_replace(reg
 _of_documents("fn_to_lower", lambda t: text.to_lower(text.keep_letters(t)), "lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g'))")
 _of_documents("fn_tokenize", lambda t: F.size(text.tokenize(t)).cast("bigint"), "len(list_filter(string_split(text, ' '), lambda t: t <> ''))")
 _of_documents("fn_insert", lambda t: text.insert(t, "the", "-", 1), "regexp_replace(text, 'the', 't-he', 'g')")
-_of_documents("fn_is_fix", lambda t: text.is_fix(F.concat(t, F.lit(" fixes"))), "true")
 _of_documents("fn_mentions_issue", text.mentions_issue, "len(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g')), ' '), lambda t: t in ('issue', 'issues'))) > 0")
 _of_documents("fn_lines", lambda t: F.size(text.lines(t)).cast("bigint"), r"len(string_split(regexp_replace(text, '\n$', ''), chr(10)))")
 
 
+@query("select o_orderkey, o_orderstatus <> 'O' as fix from orders")
+def fn_is_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    message = F.when(status == "F", "Fixes it").when(status == "P", "a prefix, andBugfix").otherwise("prefix and postfix")
+    return fx.read(spark, sf_dir, "orders").select("o_orderkey", text.is_fix(message).alias("fix"))
+
+
 @query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as instant from events")
 def fn_iso_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.read(spark, sf_dir, "events").select("event_id", text.iso_instant(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("instant"))
@@ -477,6 +484,101 @@ def fn_map_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("user_id", F.explode("a").alias("key", "added"), "p", "i").select("user_id", "key", "added", F.col("p")[F.col("key")].alias("multiplied"), F.col("i")[F.col("key")].alias("inverted"))
 
 
+# -- repositories and analyses -------------------------------------------------------
+
+
+def repository(sql: str, using: str = "") -> Callable[[Query], Query]:
+    return query(sql, fx.REPOSITORY_ORACLE + ("," + using if using else ""))
+
+
+def _flat(h: History) -> DataFrame:
+    """Commits as text columns; the virtual root has a null one."""
+    return h.values().withColumn("sha", F.col("node.sha")).drop("node")
+
+
+@repository("select sha, sha as key, cast(1 as bigint) as val from c union all select null, null, 1")
+def repo_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(fx.repository(spark, sf_dir).history()).withColumn("key", F.col("key.sha"))
+
+
+@repository("select src, dst from ce")
+def repo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.repository(spark, sf_dir).history().edges().select(F.col("src.sha").alias("src"), F.col("dst.sha").alias("dst"))
+
+
+@repository("select sha, message as key, cast(1 as bigint) as val from c")
+def repo_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fx.repository(spark, sf_dir)
+    return _flat(r.message(r.history()))
+
+
+@repository("select sha, author_name, author_mail, cast(1 as bigint) as val from c")
+def repo_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fx.repository(spark, sf_dir)
+    return _flat(r.author(r.history()))
+
+
+@repository("select sha, time as key, cast(1 as bigint) as val from c")
+def repo_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fx.repository(spark, sf_dir)
+    return _flat(r.time(r.history()))
+
+
+@repository("select sha, time as key, cast(1 as bigint) as val from c")
+def repo_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fx.repository(spark, sf_dir)
+    return _flat(r.date(r.history())).withColumn("key", F.unix_seconds("key"))
+
+
+@repository("select sha, path, object_id, count(*) as val from t where path like '%.java' group by 1, 2, 3")
+def repo_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fx.repository(spark, sf_dir)
+    return _flat(r.resources(r.history(), ".java")).withColumn("object_id", F.col("resource.object_id")).drop("resource")
+
+
+@repository("""select sha, path, object_id, cast(sum(val) as bigint) as val from (
+  select ce.dst as sha, t.path, t.object_id, 1 as val from ce join t on t.sha = ce.dst union all
+  select ce.dst, t.path, t.object_id, -1 from ce join t on t.sha = ce.src) x group by 1, 2, 3 having sum(val) <> 0""")
+def repo_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that every commit adds and removes against its parents."""
+    r = fx.repository(spark, sf_dir)
+    return _flat(r.resources(r.history()).diff()).withColumn("object_id", F.col("resource.object_id")).drop("resource")
+
+
+@repository("select coalesce(a.path, b.path) as path, a.object_id as old_object_id, b.object_id as new_object_id from (select * from t where sha = '1') a full join (select * from t where sha = '2') b on a.path = b.path where a.object_id is distinct from b.object_id")
+def repo_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.repository(spark, sf_dir).tree_diff("shop", "1", "2")
+
+
+@repository("select object_id, cast(3 as bigint) as n_lines from f")
+def repo_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.repository(spark, sf_dir).line_counts().select("resource.object_id", "n_lines")
+
+
+@repository("select sha, case when author_name = 'F' then 'true' else 'false' end as fix, case when author_name = 'F' then 'true' else 'false' end as issue, author_mail as mail from c")
+def repo_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = fx.repository(spark, sf_dir).attributes()
+    return a.select("node.sha", *[F.col("attributes")[k].alias(k) for k in ("fix", "issue", "mail")])
+
+
+@repository("select sha, cast(2 * count(*) as bigint) as key, cast(1 as bigint) as val from t join f using (object_id) where path like '%.java' group by 1")
+def app_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(apps.complexity(fx.repository(spark, sf_dir)))
+
+
+@repository("select sha, cast(2 * count(*) as bigint) as key, cast(1 as bigint) as val from t join f using (object_id) where path like '%.java' group by 1")
+def app_lines_of_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(apps.lines_of_code(fx.repository(spark, sf_dir)))
+
+
+@repository("select sha, cast(sum(val) as bigint) as key, cast(1 as bigint) as val from g where val > 0 group by 1",
+            """w as (select t.sha, word, count(*) as val from t join (select object_id, unnest(list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(content, '[^A-Za-z]', ' ', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')), ' '), lambda x: x <> '')) as word from f) f using (object_id) where path like '%.java' group by 1, 2),
+  o as (select src, dst from ce where dst in (select dst from ce group by 1 having count(*) = 1)),
+  g as (select sha, word, sum(val) as val from (select o.dst as sha, word, val from o join w on w.sha = o.dst union all select o.dst, word, -val from o join w on w.sha = o.src) x group by 1, 2)""")
+def app_terms_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(apps.terms_added(fx.repository(spark, sf_dir)))
+
+
 # -- plans -----------------------------------------------------------------------
 
 
