@@ -11,12 +11,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dagbag.plans.components import components
 from dagbag.plans.lineage import cut, drop
 
 #: Levels that a search goes down before its result is written.
 STEPS = 4
+#: Edges up to which a graph is contracted in one process.
+LOCAL_EDGES = 200_000
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -188,7 +191,7 @@ def bypass(nodes: DataFrame, edges: DataFrame, level: DataFrame | None = None) -
     return start.join(reach, ["src", "at"]).select("src", "dst").distinct()
 
 
-def contract(nodes: DataFrame, edges: DataFrame, contraction: DataFrame, remove_bypass: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def contract(nodes: DataFrame, edges: DataFrame, contraction: DataFrame, remove_bypass: bool = True, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Contract the edges of ``contraction(src, dst)`` as far as the graph stays
     acyclic; gives nodes, edges and the mapping (node, to).
 
@@ -196,7 +199,17 @@ def contract(nodes: DataFrame, edges: DataFrame, contraction: DataFrame, remove_
     those out of nodes with one child, redundant edges being dropped before each;
     the topologically first node stands for a contracted set.  It ends with a
     phase of the second kind that finds nothing.
+
+    The phases are many small steps.  A graph of at most ``local_edges`` edges,
+    such as can be drawn, is contracted on the driver; a larger one step by step
+    on the cluster, with the same result.
     """
+    schema = nodes.select("node").schema["node"].dataType
+    if edges.limit(local_edges + 1).count() <= local_edges and nodes.limit(local_edges + 2).count() <= local_edges + 1:
+        rows = lambda df: {(r.src, r.dst) for r in df.select("src", "dst").collect()}
+        ns, es, to = _contract_local({r.node for r in nodes.select("node").collect()}, rows(edges), rows(contraction), remove_bypass)
+        frame = lambda data, *names: nodes.sparkSession.createDataFrame(data, T.StructType([T.StructField(c, schema) for c in names]))
+        return frame([(n,) for n in ns], "node"), frame(list(es), "src", "dst"), frame(list(to.items()), "node", "to")
     nodes, edges, contraction = cut(nodes.select("node").distinct()), cut(edges.select("src", "dst").distinct()), cut(contraction.select("src", "dst").distinct())
     mapping = cut(nodes.select("node", F.col("node").alias("to")))
     into = True
@@ -231,6 +244,67 @@ def contract(nodes: DataFrame, edges: DataFrame, contraction: DataFrame, remove_
         into = not into
 
 
+def _rank(node) -> tuple:
+    """Orders nodes as the cluster does: nulls first, structs by their fields."""
+    if node is None:
+        return (0,)
+    return (1, tuple(map(_rank, node))) if isinstance(node, tuple) else (1, node)
+
+
+def _contract_local(nodes: set, edges: set, contraction: set, remove_bypass: bool) -> tuple[set, set, dict]:
+    to, into = {n: n for n in nodes}, True
+    while True:
+        parents: dict = {n: [] for n in nodes}
+        children: dict = {n: [] for n in nodes}
+        for a, b in edges:
+            parents[b].append(a)
+            children[a].append(b)
+        level, left, todo = {n: 0 for n in nodes}, {n: len(p) for n, p in parents.items()}, [n for n in nodes if not parents[n]]
+        done = 0
+        while todo:
+            a = todo.pop()
+            done += 1
+            for b in children[a]:
+                level[b] = max(level[b], level[a] + 1)
+                left[b] -= 1
+                if not left[b]:
+                    todo.append(b)
+        if done < len(nodes):
+            raise ValueError("the graph has a cycle")
+        redundant = set()
+        for n, ps in parents.items() if remove_bypass else ():
+            if len(ps) > 1:
+                floor = min(level[p] for p in ps)
+                seen, todo = set(), [a for p in ps for a in parents[p]]
+                while todo:
+                    a = todo.pop()
+                    if a not in seen and level[a] >= floor:
+                        seen.add(a)
+                        todo += parents[a]
+                redundant |= {(p, n) for p in ps if p in seen}
+        edges = edges - redundant
+        degree: dict = {}
+        for e in edges:
+            degree[e[into]] = degree.get(e[into], 0) + 1
+        chosen = [e for e in edges if e in contraction and degree[e[into]] == 1]
+        if not chosen and not into and not redundant:
+            return nodes, edges, to
+        root = {n: n for n in nodes}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in chosen:
+            x, y = sorted((find(a), find(b)), key=lambda n: (level[n], _rank(n)))
+            root[y] = x
+        moved = lambda es: {(find(a), find(b)) for a, b in es if find(a) != find(b)}
+        edges, contraction = moved(edges), moved(contraction)
+        nodes, to, into = {find(n) for n in nodes}, {n: find(m) for n, m in to.items()}, not into
+
+
 def prefix_sum(changes: DataFrame, partition: str, position: str, value: str = "dv") -> DataFrame:
     """Running sums of changes along a linear order, per key."""
     w = Window.partitionBy(partition).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)

@@ -22,10 +22,11 @@ def above(edges, n, seen=None):
     return seen
 
 
-def test_contraction_of_the_worked_example(spark):
+@pytest.mark.parametrize("local", [0, 100])
+def test_contraction_of_the_worked_example(spark, local):
     n, e = frames(spark, "RABCD", [("R", "A"), ("A", "B"), ("A", "C"), ("B", "D"), ("C", "D")])
     zero = spark.createDataFrame([("A", "B"), ("C", "D")], "src string, dst string")
-    nodes, edges, mapping = topology.contract(n, e, zero)
+    nodes, edges, mapping = topology.contract(n, e, zero, local_edges=local)
     assert {r.node for r in nodes.collect()} == {"R", "A", "C"} and pairs(edges) == {("R", "A"), ("A", "C")}
     assert {r.node: r.to for r in mapping.collect()} == {"R": "R", "A": "A", "B": "A", "C": "C", "D": "C"}
 
@@ -52,7 +53,10 @@ def test_against_plain_searches(spark, seed):
             root[a] = root[b] = min(root[a], root[b])
     assert {r.node: r.component for r in topology.connected_components(nodes, edges).collect()} == root
     still = [e for e in es if r.random() < 0.5]
-    ns, left, mapping = topology.contract(nodes, edges, spark.createDataFrame(still, "src bigint, dst bigint"))
+    still = spark.createDataFrame(still, "src bigint, dst bigint")
+    ns, left, mapping = topology.contract(nodes, edges, still, local_edges=0)
+    alike = topology.contract(nodes, edges, still)
+    assert [set(map(tuple, df.collect())) for df in alike] == [set(map(tuple, df.collect())) for df in (ns, left, mapping)]
     to = {r.node: r.to for r in mapping.collect()}
     assert set(to) == set(range(n)) and {r.node for r in ns.collect()} == set(to.values())
     topology.levels(ns, left)  # still acyclic
