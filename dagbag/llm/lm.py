@@ -50,13 +50,18 @@ _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 def ngram_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each text, place in its text, hashes of the 1-, 2- and
     3-grams that end at each word); the last two mean nothing at places below 1, 2."""
-    w = tx.words(texts)
-    h1 = tx.splitmix(w.hashes())
-    place = np.arange(len(h1)) - np.repeat(w.first[:-1], np.diff(w.first))
+    hashes, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for piece in tx.pieces([pa.RecordBatch.from_arrays([texts], ["text"])], limit=1 << 20):
+        w = tx.words(piece.column(0))  # eight bytes a character, so by pieces
+        hashes.append(w.hashes())
+        sizes.append(np.diff(w.first))
+    h1, size = tx.splitmix(np.concatenate(hashes)), np.concatenate(sizes)
+    first = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(len(h1)) - np.repeat(first[:-1], size)
     h2, h3 = h1.copy(), h1.copy()
     h2[1:] = tx.mix(h1[:-1] * _A + h1[1:])
     h3[1:] = tx.mix(h2[:-1] * _B + h1[1:])
-    return w.first, place, h1, h2, h3
+    return first, place, h1, h2, h3
 
 
 def chunk_keys(texts: pa.Array, bits: int):
@@ -155,7 +160,10 @@ def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT,
     def put(docs: pa.Table, answers: pa.Table) -> pa.Table:
         first, place, keys = chunk_keys(docs["text"].combine_chunks(), bits)
         sizes = np.cumsum([0, *map(len, keys)])
-        kinds, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        every = np.concatenate(keys)
+        del keys
+        kinds, inv = np.unique(every, return_inverse=True)
+        del every
         counts = np.zeros(len(kinds), np.int64)
         bucket = (kinds >> np.uint64(WIDTH)).astype(np.int64)
         for b, raw in zip(answers["bucket"].to_pylist(), answers["counts"]):
