@@ -14,7 +14,6 @@ pandas UDF, with ``dynamics=MEMOIZATION`` to run it once for each distinct key.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -245,14 +244,30 @@ class History:
             return self.collapse()
         return self._with(self._values.filter(self._group.nonzero()), outer=self.outer, normal=True)
 
+    def _beside(self, other: History) -> DataFrame:
+        """(node, keys..., x..., y...): total weights of both, 0 where one has none.
+
+        One aggregation over the union: inputs that are partitioned by node and
+        key already aren't shuffled again, rows that aren't summed yet needn't
+        be, and null keys are keys like others.
+        """
+        sides = [("x", self), ("y", other.rekey(self.keys))]
+        parts, totals = [], []
+        for s, h in sides:
+            parts.append(h._values.select("node", *self.keys, *[
+                (F.col(c) if s == t else F.lit(0)).cast(k).alias(f"__{t}{i}") for t, g in sides for i, (c, k) in enumerate(zip(g._group.columns, g._group.types))
+            ]))
+            totals += [F.sum(f"__{s}{i}").cast(k).alias(f"__{s}{i}") for i, k in enumerate(h._group.types)]
+        return parts[0].unionByName(parts[1]).groupBy("node", *self.keys).agg(*totals)
+
     def tjoin(self, other: History) -> History:
         """Keys that both have at a node, weights multiplied."""
         nodes, edges = self._meet(other)
-        y = other.rekey(self.keys)
-        on = reduce(lambda a, b: a & b, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in self.keys], F.col("x.node") == F.col("y.node"))
-        rows = self._values.alias("x").join(y._values.alias("y"), on)
-        out = self._with(rows.select("x.node", *[F.col(f"x.{k}").alias(k) for k in self.keys], *self._product("x", "y")), outer=self.outer, nodes=nodes, edges=edges)
-        return out._settled(self.normal and other.normal)
+        g = self._group
+        x, y = ([F.col(f"__{s}{i}") for i in range(len(g.columns))] for s in "xy")
+        made = [p.cast(t).alias(c) for p, t, c in zip(g.multiply(x, y), g.types, g.columns)]
+        rows = self._beside(other).filter(g.nonzero(x) & g.nonzero(y)).select("node", *self.keys, *made)
+        return self._with(rows.filter(g.nonzero()), outer=self.outer, normal=True, nodes=nodes, edges=edges)
 
     def tmap(self, f: Callable[..., Keys], dynamics: str = COLLAPSE) -> History:
         """Each key becomes f(key); weights of keys that meet are summed."""
@@ -356,14 +371,9 @@ class History:
     def cogroup(self, other: History) -> History:
         """Pairs of weights of every key of either; a missing one is zero."""
         nodes, edges = self._meet(other)
-        x, y = self.collapse(), other.rekey(self.keys).collapse()
-        group = pair(x._group, y._group)
-        on = reduce(lambda a, b: a & b, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in self.keys], F.col("x.node") == F.col("y.node"))
-        rows = x._values.withColumn("__x", F.lit(1)).alias("x").join(y._values.withColumn("__y", F.lit(1)).alias("y"), on, "full_outer")
-        mine = F.col("x.__x").isNotNull()
-        pick = lambda c: F.when(mine, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(c)
-        vals = [F.coalesce(F.col(f"{s}.{h._group.columns[0]}"), F.lit(0).cast(t)).alias(n) for s, h, t, n in zip("xy", (x, y), group.types, group.columns)]
-        return self._with(rows.select(pick("node"), *[pick(k) for k in self.keys], *vals), group=group, outer=self.outer, normal=True, nodes=nodes, edges=edges)
+        group = pair(self._group, other._group)
+        rows = self._beside(other).select("node", *self.keys, F.col("__x0").alias("val1"), F.col("__y0").alias("val2"))
+        return self._with(rows.filter(group.nonzero()), group=group, outer=self.outer, normal=True, nodes=nodes, edges=edges)
 
     def group_by(self, f: Callable[..., Column], name: str = "group") -> History:
         """Nest by f(key): a leading key column, no data moves."""
