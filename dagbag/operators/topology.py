@@ -309,3 +309,22 @@ def prefix_sum(changes: DataFrame, partition: str, position: str, value: str = "
     """Running sums of changes along a linear order, per key."""
     w = Window.partitionBy(partition).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     return changes.withColumn("val", F.sum(value).over(w))
+
+
+def group_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values): sorted arrays of the distinct values of each key."""
+    return df.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("values"))
+
+
+def group_by_value(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(value, keys): the same the other way round."""
+    return df.groupBy(value).agg(F.array_sort(F.collect_set(key)).alias("keys"))
+
+
+def reduce_by_key(df: DataFrame, key: str, value: str, zero: Column, merge) -> DataFrame:
+    """(key, value): each key's values folded by ``merge(a, b)`` in their order.
+
+    For sums, minima and the like an aggregate function does it without arrays.
+    """
+    gathered = df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("__v"))
+    return gathered.select(key, F.aggregate("__v", zero, merge).alias(value))

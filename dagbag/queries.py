@@ -378,6 +378,23 @@ def outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.outgoing(fx.edges(spark, sf_dir)).withColumn("children", F.array_join(F.transform("children", lambda p: p.cast("string")), ","))
 
 
+@query("select src, string_agg(dst, ',' order by dst) as values from e group by 1")
+def group_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = topology.group_by_key(fx.edges(spark, sf_dir), "src", "dst")
+    return out.withColumn("values", F.array_join(F.transform("values", lambda p: p.cast("string")), ","))
+
+
+@query("select dst, string_agg(src, ',' order by src) as keys from e group by 1")
+def group_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = topology.group_by_value(fx.edges(spark, sf_dir), "src", "dst")
+    return out.withColumn("keys", F.array_join(F.transform("keys", lambda p: p.cast("string")), ","))
+
+
+@query("select src, max(dst) as dst from e group by 1")
+def reduce_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.reduce_by_key(fx.edges(spark, sf_dir), "src", "dst", F.lit(0).cast("bigint"), lambda a, b: F.greatest(a, b))
+
+
 @query("select node, cast(level as int) as level from lv", LEVELS, True)
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.levels(*_ends(spark, sf_dir))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dagbag.config import setting
 from dagbag.functions import text
+from dagbag.functions.isolated import Isolated
 from dagbag.functions.groups import map_add, map_invert, map_multiply
 from dagbag.operators import History
 from dagbag.plans import delta, guard
@@ -97,3 +98,18 @@ def test_settings(tmp_path, monkeypatch):
     path.write_text("# note\ncache = /x\n")
     monkeypatch.setenv("OTHER", "y")
     assert [setting(n, str(path)) for n in ("cache", "OTHER", "third")] == ["/x", "y", "third"]
+
+
+def test_isolated_calls():
+    import os
+    import time
+
+    def f(x):
+        if x == 1:
+            time.sleep(30)
+        if x == 2:
+            os._exit(3)
+        return 10 // (x - 3)
+
+    with Isolated(f, 0.5, -1) as g:
+        assert [g(x) for x in (4, 1, 5, 2, 3, 8)] == [10, -1, 5, -1, -1, 2]
