@@ -9,20 +9,22 @@ ever gathers its neighbours in one row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dagbag.plans.lineage import cut, drop
 
 
+# Least neighbours are aggregated before they are shuffled and then joined back, so
+# that a node with very many neighbours, as every star has, is no task of its own.
 def _large(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-    return both.withColumn("m", least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
-    w = e.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    w = e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
     pairs = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
     return w.select(F.explode(pairs).alias("p")).select("p.u", "p.v").filter("u > v").distinct()
 
