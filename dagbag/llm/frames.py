@@ -6,18 +6,29 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dagbag.llm import text as tx
 from dagbag.plans.lineage import cut, drop, shared_dir  # noqa: F401
+
+
 def local_path(path: str) -> str:
     return urlparse(path).path if path.startswith("file:") else path
 
 
+def quoted(name: str) -> str:
+    """The name as it stands in expressions, whatever dots or ticks it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(df: DataFrame, name: str) -> Column:
+    return df[quoted(name)]
+
+
 def inputs(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:
     """Just the named columns, cast; columns of other names can't clash then."""
-    return df.select(*[df[c].cast(t).alias(c) for c, t in columns])
+    return df.select(*[col(df, c).cast(t).alias(c) for c, t in columns])
 
 
 def with_text(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: str = "text", limit: int = tx.CHUNK_BYTES) -> DataFrame:
@@ -40,6 +51,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The same for several, which differ among themselves."""
+    return [fresh(df, n) for n in names]
+
+
 def first_labels(labels: DataFrame, label: str, per_class: int | tuple[int, ...], id_col: str = "doc_id", classes=(0, 1)) -> DataFrame:
     """At most ``per_class`` labelled ids of each class, in order of a hash.
 

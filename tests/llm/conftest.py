@@ -3,6 +3,11 @@ import random
 import pytest
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+#: Extra columns named as anything inside the operators is, and with a dot and a tick.
+CLASHES = [f"{i} as `{n}`" for i, n in enumerate(
+    "th own gone my_own my_th keep size group best n a b key u v __id __th __gone __spans __items spans items h line x first "
+    "doc_id2 chunk bucket keys counts n_tokens score p state values places fh votes piece shard cost a.b c`d".replace("`", "``").split()
+)]
 _HALVES = [a + b for a in "ka lo mi nu per sta tri vo zan".split() for b in "dor el fin gast hum ik".split()]
 WORDS = [a + b for a in _HALVES for b in _HALVES]
 
