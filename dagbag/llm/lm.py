@@ -1,23 +1,32 @@
 """Stupid-backoff language-model scores of documents under their own corpus.
 
-``S(w | u v)`` is ``c(u v w) / c(u v)`` if the trigram was seen ``MIN_COUNT``
-times or more, else ``BACKOFF * S(w | v)``, and so on down to ``c(w) / N``.  An
-n-gram that was seen once is the occurrence that is being scored, so it is no
-evidence.  A document's score is the sum of ``ln S`` over its words.
+``S(w | u v)`` is ``c(u v w) / c(u v)`` if ``c(u v w) > 0``, else ``BACKOFF * S(w |
+v)``, and so on down to ``c(w) / N``.  A document's score is the sum of ``ln S`` over
+its words.
 
-The count tables are partitioned by n-gram hash and joined to the documents'
-n-grams, both in blocks:
+A corpus has seen every n-gram of its own documents, so that nothing would ever
+back off.  Each word is therefore scored by the rest of the corpus: the counts of
+the n-grams that end at it (and of their beginnings, and ``N``) leave out this one
+occurrence.  A word that is found nowhere else counts as one of ``N``.
+
+The count table is a relation partitioned by n-gram hash, and so are the documents'
+n-grams that are joined to it; both have their rows packed in blocks:
 
 1. Documents are dealt to chunks.  A chunk's n-grams of all orders become one
-   sorted list of keys with counts, cut by bucket (the first bits of the key).
-2. Each bucket adds up the counts of its keys over all chunks, which is its part
-   of the count table, and answers every chunk with the counts of the keys that
-   the chunk sent, in their order.
-3. A chunk puts the answers beside its keys and sums the scores by document.
+   sorted list of keys with counts, cut by bucket (the first bits of the key): rows
+   (chunk, bucket, keys, counts), shuffled by bucket.
+2. :func:`count_table` adds the counts of a bucket's keys over all chunks: one row
+   (bucket, keys, counts), in the partition where the n-grams are already.  The join
+   on bucket and key gives every chunk the counts of the keys that it sent.
+3. A chunk puts the answers beside its n-grams and sums the scores by document.
 
 Every n-gram occurrence is counted and looked up, but what is shuffled is one
 difference of about five bytes for each different n-gram of a chunk on the way there, and
 about a byte on the way back.  Steps 1 and 3 read one shuffle of the documents.
+
+Chunks and buckets have a million words and n-grams, beyond some 20 thousand million
+words more (:func:`plan`), so that a row holds ``ROW_KEYS`` keys or more: the number
+of rows grows with the corpus, not with its square.
 """
 
 from __future__ import annotations
@@ -34,11 +43,13 @@ from dagbag.llm import frames
 from dagbag.llm import text as tx
 
 BACKOFF = 0.4
-MIN_COUNT = 2
-#: Words of a chunk and different n-grams of a bucket; each is one group in a
-#: Python worker (about 100 bytes a word), to be raised with executors' memory.
+#: Least words of a chunk and different n-grams of a bucket; each is one group in a
+#: Python worker (about 100 bytes a word: 3 GB at 100 TB).
 CHUNK_TOKENS = 1_000_000
 BUCKET_KEYS = 1_000_000
+#: Keys that a row of a chunk and bucket has at least on average; different n-grams
+#: of a chunk, and of the corpus, for each word.
+ROW_KEYS, CHUNK_KINDS, KINDS = 64, 2.3, 1.7
 #: Bits of a key within its bucket; with those of the bucket they are at least 48
 #: and 64 at most.  Of n different n-grams one shares its key with another with
 #: probability n / 2**(WIDTH + bits): under 1e-6 from thousands to 10**13.
@@ -102,19 +113,27 @@ def unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(d.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def log_scores(first: np.ndarray, place: np.ndarray, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total: int, backoff: float, min_count: int) -> np.ndarray:
-    """Sum of ln S of each text, from the counts at each word."""
+def log_scores(first: np.ndarray, place: np.ndarray, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total: int, backoff: float) -> np.ndarray:
+    """Sum of ln S of each text, from the counts at each word, itself included."""
     log = lambda x: np.log(np.maximum(x, 1))
     step = math.log(backoff)
-    s = log(c1) - math.log(max(total, 1)) + step * np.minimum(place, 2)
+    s = log(c1 - 1) - math.log(max(total - 1, 1)) + step * np.minimum(place, 2)
     before1, before2 = np.roll(c1, 1), np.roll(c2, 1)
-    two = (place >= 1) & (c2 >= min_count)
-    s[two] = log(c2[two]) - log(before1[two]) + step * (place[two] >= 2)
-    three = (place >= 2) & (c3 >= min_count)
-    s[three] = log(c3[three]) - log(before2[three])
+    two = (place >= 1) & (c2 > 1)
+    s[two] = log(c2[two] - 1) - log(before1[two] - 1) + step * (place[two] >= 2)
+    three = (place >= 2) & (c3 > 1)
+    s[three] = log(c3[three] - 1) - log(before2[three] - 1)
     return tx.sum_by_doc(s, first)
 
 
+def plan(total: int, chunk_tokens: int = CHUNK_TOKENS, bucket_keys: int = BUCKET_KEYS) -> tuple[int, int]:
+    """(chunks, bits of the bucket) for so many words."""
+    # chunks * buckets rows have CHUNK_KINDS * total keys
+    side = math.sqrt(ROW_KEYS * KINDS / CHUNK_KINDS * total)
+    chunks = max(1, math.ceil(total / max(chunk_tokens, side)))
+    return chunks, max(0, math.ceil(math.log2(max(1, KINDS * total / max(bucket_keys, side)))))
+
+
 def _count_words(docs: DataFrame, text_col: str) -> int:
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([len(tx.words(b.column(0)).start)])], ["n"])
@@ -123,19 +142,36 @@ def _count_words(docs: DataFrame, text_col: str) -> int:
     return rows.agg(F.sum("n")).first()[0] or 0
 
 
-def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT, chunk_tokens: int = CHUNK_TOKENS, bucket_keys: int = BUCKET_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_table(asked: DataFrame) -> DataFrame:
+    """(bucket, keys, counts) of rows (chunk, bucket, keys, counts): one row a bucket."""
+
+    def add(t: pa.Table) -> pa.Table:
+        lists = [unpack_keys(x.as_buffer()) for x in t["keys"]]
+        own = np.concatenate([unpack_counts(x.as_buffer(), len(k)) for x, k in zip(t["counts"], lists)])
+        kinds, inv = np.unique(np.concatenate(lists), return_inverse=True)
+        table = np.bincount(inv, weights=own, minlength=len(kinds)).astype(np.int64)
+        return pa.table({"bucket": t["bucket"][:1], "keys": pa.array([pack_keys(kinds)], pa.binary()), "counts": pa.array([pack_counts(table)], pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(add, "bucket int, keys binary, counts binary")
+
+
+def score(docs: DataFrame, backoff: float = BACKOFF, chunk_tokens: int = CHUNK_TOKENS, bucket_keys: int = BUCKET_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_score, mean_log_score) of every row.
 
-    Words are folded to lower case, punctuation is dropped, n-grams don't cross
-    documents.  Null and empty texts have 0 tokens, log_score 0 and a null mean.
-    Null ids stay null, repeated rows are counted and scored each, other columns
+    Words are folded to lower case (``text.fold``), punctuation is dropped, n-grams
+    don't cross documents; a text of any length is scored whole.  Null and empty
+    texts have 0 tokens, log_score 0 and a null mean.  Null ids stay null, repeated
+    rows are counted and scored each, equal scores are no special case, other columns
     are ignored, an empty table gives no rows.
+
+    Rows are dealt to chunks by their order, not by what they hold, so that many
+    equal rows make no large chunk; ``docs`` must give the same order when a task is
+    repeated, as files do.
     """
     total = _count_words(docs, text_col)
-    chunks = max(1, math.ceil(total / chunk_tokens))
-    bits = min(20, max(0, math.ceil(math.log2(max(1, 1.7 * total / bucket_keys)))))
+    chunks, bits = plan(total, chunk_tokens, bucket_keys)
     rows = frames.inputs(docs, (id_col, "bigint"), (text_col, "string")).toDF("doc_id", "text")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition("chunk")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")).repartition("chunk")
 
     def ask(t: pa.Table) -> pa.Table:
         _, _, keys = chunk_keys(t["text"].combine_chunks(), bits)
@@ -148,14 +184,11 @@ def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT,
             "keys": pa.array([pack_keys(k[s:e]) for s, e in zip(heads, ends)], pa.binary()), "counts": pa.array([pack_counts(c[s:e]) for s, e in zip(heads, ends)], pa.binary()),
         })
 
-    def answer(t: pa.Table) -> pa.Table:
-        lists = [unpack_keys(x.as_buffer().to_pybytes()) for x in t["keys"]]
-        border = np.cumsum([0, *map(len, lists)])
-        own = np.concatenate([unpack_counts(x.as_py(), len(k)) for x, k in zip(t["counts"], lists)])
-        kinds, inv = np.unique(np.concatenate(lists), return_inverse=True)
-        table = np.bincount(inv, weights=own, minlength=len(kinds)).astype(np.int64)
-        back = [pack_counts(table[inv[s:e]]) for s, e in zip(border[:-1], border[1:])]
-        return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "counts": pa.array(back, pa.binary())})
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        kinds = unpack_keys(table["keys"][0].as_buffer())
+        counts = unpack_counts(table["counts"][0].as_buffer(), len(kinds))
+        back = [pack_counts(counts[np.searchsorted(kinds, unpack_keys(x.as_buffer()))]) for x in asked["keys"]]
+        return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "counts": pa.array(back, pa.binary())})
 
     def put(docs: pa.Table, answers: pa.Table) -> pa.Table:
         first, place, keys = chunk_keys(docs["text"].combine_chunks(), bits)
@@ -174,13 +207,13 @@ def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT,
             c = np.zeros(len(place), np.int64)
             c[place >= n] = counts[inv[sizes[n] : sizes[n + 1]]]
             by_order.append(c)
-        s = log_scores(first, place, *by_order, total, backoff, min_count)
+        s = log_scores(first, place, *by_order, total, backoff)
         size = np.diff(first)
         mean = np.divide(s, size, out=np.zeros(len(s)), where=size > 0)
         return pa.table({"doc_id": docs["doc_id"], "n_tokens": pa.array(size), "log_score": pa.array(s), "mean_log_score": pa.array(mean, mask=size == 0)})
 
-    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk int, bucket int, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, counts binary")
+    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk int, bucket int, keys binary, counts binary").repartition("bucket")
+    answers = asked.groupBy("bucket").cogroup(count_table(asked).groupBy("bucket")).applyInArrow(answer, "chunk int, bucket int, counts binary")
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(put, "doc_id bigint, n_tokens bigint, log_score double, mean_log_score double")
 
 
@@ -198,9 +231,9 @@ with words as (
   select *, lag(c1) over d as b1, lag(c2) over d as b2 from c window d as (partition by doc_id order by i)
 ), s as (
   select doc_id, case
-    when i >= 2 and c3 >= 2 then ln(c3 / b2)
-    when i >= 1 and c2 >= 2 then ln(c2 / b1) + ln(0.4) * (case when i >= 2 then 1 else 0 end)
-    else ln(c1 / (select count(*) from t)) + ln(0.4) * least(i, 2) end as s from x
+    when i >= 2 and c3 > 1 then ln((c3 - 1) / (b2 - 1))
+    when i >= 1 and c2 > 1 then ln((c2 - 1) / (b1 - 1)) + ln(0.4) * (case when i >= 2 then 1 else 0 end)
+    else ln(greatest(c1 - 1, 1) / (select greatest(count(*) - 1, 1) from t)) + ln(0.4) * least(i, 2) end as s from x
 )
 select d.doc_id, count(s.s) as n_tokens, round(coalesce(sum(s.s), 0), 4) as log_score, round(sum(s.s) / count(s.s), 6) as mean_log_score
 from documents d left join s using (doc_id) group by d.doc_id
