@@ -141,10 +141,13 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Model | None:
-    """Train on at most ``per_class`` labelled documents of each class (1 is good)."""
+    """Train on at most ``per_class`` labelled documents of each class (1 is good).
+
+    Of an id that several rows have the least text is used.
+    """
     chosen = frames.first_labels(labels, label, per_class, id_col)
-    rows = frames.inputs(docs, (id_col, "bigint"), (text_col, "string")).withColumnRenamed(id_col, "id").withColumnRenamed(text_col, "text")
-    rows = rows.join(F.broadcast(chosen), "id")  # at most 2 * per_class rows
+    rows = frames.inputs(docs, (id_col, "bigint"), (text_col, "string")).toDF("id", "text")
+    rows = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # at most 2 * per_class rows
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
         found = bags(b.column(b.schema.get_field_index("text")))
@@ -165,7 +168,8 @@ def _scores(model, texts: pa.Array) -> np.ndarray:
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, p_good, keep) of every row.
 
-    Null and empty texts have p_good 0.  Without a model (no labelled document
+    Null and empty texts have p_good 0; a p_good of just ``threshold`` is kept; a
+    text of any length is scored whole.  Without a model (no labelled document
     of some class) every row has p_good 1.  Null ids stay null, repeated rows
     are scored each, other columns are ignored, an empty table gives no rows.
     """

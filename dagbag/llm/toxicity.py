@@ -35,10 +35,10 @@ from dagbag.llm import text as tx
 BITS = 21
 LANE = 128
 PREFIXES = (3, 4, 5)
-#: Bounds of the training sample: labelled documents of each class (other,
-#: toxic), and the characters of a document that is used for training.
+#: Bounds of the training sample, for each class (other, toxic): labelled documents,
+#: and bytes of text, after which no further document is taken.
 PER_CLASS = (3500, 1200)
-SAMPLE_CHARS = 100_000
+SAMPLE_BYTES = (36 << 20, 18 << 20)
 EPOCHS = 5
 #: A token of this marginal or more is in a span; a document of this score or
 #: more is toxic.
@@ -298,71 +298,70 @@ def fit_texts(texts: pa.Array, toxic: np.ndarray, bits: int = BITS) -> Model | N
     y = token_labels(x, toxic)
     if not y.any():
         return None
-    clean = np.flatnonzero(toxic == 0)[: max(2000, 2 * int(toxic.sum()))]
-    use = np.sort(np.concatenate([np.flatnonzero(toxic == 1), clean]))
-    y = y[np.isin(x.owner(), use)]
-    x = Tokens.of_many(texts.take(pa.array(use)))
     return train(x.features(bits), x.first, y, bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model | None:
-    """Train on at most ``per_class`` labelled documents of the classes 0 and 1."""
-    chosen = frames.first_labels(labels, label, per_class, id_col)
-    rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "id").filter(F.length("text") <= sample_chars)  # a bounded number of rows
-    got = rows.select("id", "text", "y").dropDuplicates().toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, sample_bytes: tuple[int, int] = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model | None:
+    """Train on at most ``per_class`` labelled documents of the classes 0 and 1.
+
+    Documents of a class are taken whole, in the order of a hash of their ids, as
+    long as those before have fewer than ``sample_bytes``.
+    """
+    got = frames.sample(docs, labels, label, per_class, sample_bytes, id_col, text_col)
     return fit_texts(got["text"].combine_chunks(), got["y"].to_numpy()) if got.num_rows else None
 
 
-SCHEMA = "doc_id bigint, score double, n_tokens bigint, n_toxic bigint, spans array<struct<start:bigint,end:bigint,p:double>>"
-_ARROW = pa.schema([
-    ("doc_id", pa.int64()), ("score", pa.float64()), ("n_tokens", pa.int64()), ("n_toxic", pa.int64()),
-    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))),
-])
+SCHEMA = "doc_id bigint, score double, toxic boolean, n_tokens bigint, n_toxic bigint, spans array<struct<start:bigint,end:bigint,p:double>>"
 
 
-def tag(texts: pa.Array, model: Model, threshold: float = THRESHOLD, doc_threshold: float = DOC_THRESHOLD) -> list[tuple[int, dict]]:
-    """(text, result) of the toxic texts."""
+def tag(texts: pa.Array, model: Model | None, threshold: float = THRESHOLD, doc_threshold: float = DOC_THRESHOLD) -> list[pa.Array]:
+    """Columns of :func:`score` but for the id."""
     w = tx.words(texts)
-    if not len(w.start):
-        return []
-    p = model.marginals(Tokens.of(w).features(model.bits), w.first)
-    bad = p >= threshold
-    at = np.flatnonzero(bad)
-    if not len(at):
-        return []
+    n = len(w.first) - 1
+    p = model.marginals(Tokens.of(w).features(model.bits), w.first) if model is not None and len(w.start) else np.zeros(len(w.start))
+    at = np.flatnonzero(p >= threshold)
     owner = np.searchsorted(w.first, at, side="right") - 1
+    head = np.ones(len(at), bool)  # first token of its span
+    head[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
+    heads = np.flatnonzero(head)
+    tails = np.append(heads[1:], len(at))[: len(heads)] - 1
+    doc = owner[heads]
+    high = np.maximum.reduceat(p[at], heads) if len(heads) else np.empty(0)
     char = tx.chars(w.data)
-    fresh = np.ones(len(at), bool)  # first token of its span
-    fresh[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
-    out = []
-    for d in np.unique(owner):
-        mine = np.flatnonzero(owner == d)
-        groups = np.split(mine, np.flatnonzero(fresh[mine])[1:])
-        base = char[w.doc[d]]
-        spans = [{"start": int(char[w.start[at[g[0]]]] - base), "end": int(char[w.end[at[g[-1]]]] - base), "p": float(p[at[g]].max())} for g in groups]
-        score = 1 - float(np.prod([1 - s["p"] for s in spans]))
-        if score < doc_threshold:
-            continue
-        out.append((int(d), {"score": score, "n_tokens": int(w.first[d + 1] - w.first[d]), "n_toxic": len(mine), "spans": spans}))
-    return out
+    start, end = (char[x] - char[w.doc[doc]] for x in (w.start[at[heads]], w.end[at[tails]]))
+    # a text without spans has the highest marginal of its tokens
+    miss = np.ones(n)
+    np.multiply.at(miss, doc, 1 - high)
+    score = 1 - miss
+    none = np.flatnonzero((np.bincount(doc, minlength=n) == 0) & (np.diff(w.first) > 0))
+    if len(none):
+        some = np.flatnonzero(np.diff(w.first) > 0)
+        top = np.zeros(n)
+        top[some] = np.maximum.reduceat(p, w.first[some])
+        score[none] = top[none]
+    first = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+    spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(high)], ["start", "end", "p"])
+    return [pa.array(score), pa.array(score >= doc_threshold), pa.array(np.diff(w.first)), pa.array(np.bincount(owner, minlength=n)), pa.ListArray.from_arrays(pa.array(first), spans)]
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, doc_threshold: float = DOC_THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each toxic row of ``docs``.
-
-    ``spans`` are character offsets with the highest marginal inside; ``score``
-    is the probability that some span is toxic, taken as independent.  Rows that
-    aren't listed have a score under ``doc_threshold``.  Null and
-    empty texts are never listed; a null id stays null; repeated rows are listed
-    each; without a model or with an empty table nothing is; other columns are
-    ignored.
+    """(doc_id, score, toxic, n_tokens, n_toxic, spans) of every row of ``docs``.
+
+    ``spans`` are runs of tokens whose marginal is ``threshold`` or more, as
+    character offsets with the highest marginal inside.  ``score`` is the
+    probability that some span is toxic, taken as independent; without spans it is
+    the highest marginal of a token, which is under ``threshold``.  ``toxic`` says
+    that the score is ``doc_threshold`` or more; a score or marginal just at its
+    threshold counts.
+
+    Null and empty texts have score 0 and no spans; a null id stays null; repeated
+    rows are scored each; a text of any length is tagged as one chain; without a
+    model all scores are 0; an empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = tag(b.column(1), shared.value, threshold, doc_threshold) if shared.value else []
-        return pa.RecordBatch.from_pylist([{"doc_id": b.column(0)[d].as_py(), **r} for d, r in found], schema=_ARROW)
+        return pa.RecordBatch.from_arrays([b.column(0), *tag(b.column(1), shared.value, threshold, doc_threshold)], ["doc_id", "score", "toxic", "n_tokens", "n_toxic", "spans"])
 
     rows = frames.inputs(docs, (id_col, "bigint"), (text_col, "string"))
     return frames.with_text(rows, make, SCHEMA, text_col)
