@@ -1,8 +1,9 @@
 """Benchmark decontamination by a broadcast set of test n-grams.
 
 Words of both sides are folded to lower case and punctuation is dropped.  Each
-test item gives its windows of ``n`` words; an item of fewer words (at least
-``min_words``) is one window of its own length.  Their 64-bit hashes are sent to
+test item gives its windows of ``n`` words; an item of fewer words is one window
+of its own length.  One of fewer than ``min_words``, which any text may hold by
+chance, is a hit only where it makes up a whole line.  Their 64-bit hashes are sent to
 every executor; documents are scanned window by window with rolling sums; a
 window whose hash is found is verified word by word against the item.  Verified
 windows, joined over gaps of up to ``gap`` words, are the spans to remove; a
@@ -55,6 +56,19 @@ class Grams:
     words: np.ndarray
     second: np.ndarray
     bloom: dict
+    min_words: int
+
+
+def _line_edges(w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are the first and which the last of their line."""
+    breaks = np.zeros(len(w.data) + 1, np.int64)
+    np.cumsum(w.data == 10, out=breaks[1:])
+    first, last = np.ones(len(w.start), bool), np.ones(len(w.start), bool)
+    first[1:] = breaks[w.start[1:]] > breaks[w.end[:-1]]
+    heads = w.first[:-1][np.diff(w.first) > 0]
+    first[heads] = True
+    last[:-1] = first[1:]
+    return first, last
 
 
 def _second(w: tx.Words) -> np.ndarray:
@@ -69,7 +83,7 @@ def grams(items: pa.Array, texts: pa.Array, n: int = N, min_words: int = MIN_WOR
     ids = np.asarray(items)
     size = np.diff(w.first)
     by, bloom = {}, {}
-    for length in sorted({min(n, int(s)) for s in size if s >= min_words}):
+    for length in sorted({min(n, int(s)) for s in size if s}):
         win = _windows(h, length)
         own = owner[: len(win)]
         ok = own == owner[length - 1 :]
@@ -80,14 +94,14 @@ def grams(items: pa.Array, texts: pa.Array, n: int = N, min_words: int = MIN_WOR
         mask = np.zeros(1 << _FILTER_BITS, dtype=bool)
         mask[win[at] >> np.uint64(64 - _FILTER_BITS)] = True
         bloom[length] = mask
-    return Grams(by, h, second, bloom)
+    return Grams(by, h, second, bloom, min_words)
 
 
 def hits(texts: pa.Array, g: Grams):
     """(words, document, first word, end word, item) of every verified window."""
     w = tx.words(texts)
     h = w.hashes()
-    owner, second, found = None, None, []
+    owner, second, edges, found = None, None, None, []
     for length, (keys, places, items) in g.by_length.items():
         win = _windows(h, length)
         at = np.flatnonzero(g.bloom[length][win >> np.uint64(64 - _FILTER_BITS)])
@@ -102,6 +116,9 @@ def hits(texts: pa.Array, g: Grams):
         ok = owner[at] == owner[at + length - 1]
         for k in range(length):
             ok &= (h[at + k] == g.words[places[key] + k]) & (second[at + k] == g.second[places[key] + k])
+        if length < g.min_words:
+            edges = edges or _line_edges(w)
+            ok &= edges[0][at] & edges[1][at + length - 1]
         at, key = at[ok], key[ok]
         found.append((owner[at], at, at + length, items[key]))
     if not found:
@@ -135,7 +152,8 @@ def spans(texts: pa.Array, g: Grams, gap: int = GAP) -> dict[int, tuple[list, in
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[DataFrame]:
     """(item, text) of the benchmark, in parts of at most about ``limit`` bytes."""
-    rows = benchmark.select(F.coalesce(benchmark[item_col].cast("bigint"), F.lit(-1).cast("bigint")).alias("item"), benchmark[text_col].cast("string").alias("text")).filter("text is not null")
+    item = F.coalesce(frames.col(benchmark, item_col).cast("bigint"), F.lit(-1).cast("bigint"))
+    rows = benchmark.select(item.alias("item"), frames.col(benchmark, text_col).cast("string").alias("text")).filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     k = max(1, -(-total // limit))
     return [rows if k == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(k)) == i) for i in range(k)]
@@ -163,8 +181,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, gap: i
 
         return frames.with_text(docs, make, schema, text_col)
 
-    text = docs[text_col].cast("string")
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    text, own = frames.col(docs, text_col).cast("string"), frames.col(docs, id_col).cast("bigint")
+    rows = docs.select(own.alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     every = None
     for part in parts:
         shared = sc.broadcast(_grams(part, n, min_words))
@@ -181,9 +199,13 @@ def _found(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, gap: i
         hit = frames.cut(frames.with_text(rows, look, _SPANS))
         shared.unpersist()
         every = hit if every is None else every.unionAll(hit)
-    merged = every.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))
-    cond = F.xxhash64(text).eqNullSafe(merged["__th"]) & docs[id_col].cast("bigint").eqNullSafe(merged["__id"])
-    joined = docs.join(merged, cond, "left").select(*docs.columns, "__spans", "__items")
+    id_name, th_name, span_name, item_name = frames.fresh_names(docs, "id", "th", "spans", "items")
+    every = every.select("doc_id", "th", F.explode("spans").alias("span"), "items").distinct()  # rows may repeat
+    merged = every.groupBy(F.col("doc_id").alias(id_name), F.col("th").alias(th_name)).agg(
+        F.array_sort(F.collect_set("span")).alias(span_name), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias(item_name)
+    )
+    cond = F.xxhash64(text).eqNullSafe(merged[th_name]) & own.eqNullSafe(merged[id_name])
+    joined = docs.join(merged, cond, "left").select(*map(frames.quoted, docs.columns), span_name, item_name)
 
     def put(b: pa.RecordBatch) -> pa.RecordBatch:
         texts, k = pc.cast(b.column(at), pa.string()), b.num_columns - 2
@@ -226,11 +248,13 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = M
     """One row for each contaminated row of ``docs``: what is done to it.
 
     ``action`` is "remove document" (text null) or "remove spans" (text is what
-    remains); ``spans`` are character offsets in the original text.  Rows that
-    aren't listed stay as they are.  Null and empty texts have no hits; a null id
+    remains; a share of just ``drop_share`` removes); ``spans`` are character
+    offsets in the original text, ``items`` all items with a hit, also where several
+    hold the same words.  Rows that aren't listed stay as they are.  Null and empty
+    texts have no hits; a text of any length is scanned whole; a null id
     stays null; repeated rows are listed each; null items count as item -1, null
-    item texts and items of fewer than ``min_words`` words are ignored; with an
-    empty benchmark nothing is listed.  Other columns are ignored.
+    item texts and items without words are ignored; with an empty benchmark or an
+    empty table nothing is listed.  Other columns are ignored.
     """
 
     def change(b, texts, seen):

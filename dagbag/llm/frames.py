@@ -8,6 +8,7 @@ from urllib.parse import urlparse
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from dagbag.llm import text as tx
 from dagbag.plans.lineage import cut, drop, shared_dir  # noqa: F401
@@ -32,7 +33,16 @@ def inputs(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:
 
 
 def with_text(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: str = "text", limit: int = tx.CHUNK_BYTES) -> DataFrame:
-    """mapInArrow over pieces of about ``limit`` bytes of text each."""
+    """mapInArrow over pieces of about ``limit`` bytes of text each.
+
+    ``make`` sees columns by place; names with dots or ticks are kept from Spark's
+    Python plans, which can't take them.
+    """
+    at, named = df.columns.index(column), None
+    if any("." in c or "`" in c for c in df.columns):
+        df, column = df.toDF(*[f"c{i}" for i in range(len(df.columns))]), f"c{at}"
+        if not isinstance(schema, str):
+            named, schema = schema.names, StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tx.pieces(batches, column, limit):
@@ -40,7 +50,8 @@ def with_text(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], s
             if out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    out = df.mapInArrow(run, schema)
+    return out.toDF(*named) if named else out
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -62,7 +73,7 @@ def first_labels(labels: DataFrame, label: str, per_class: int | tuple[int, ...]
     A null id or label is left out; an id with several labels has the lowest.
     """
     one = (
-        labels.select(labels[id_col].cast("bigint").alias("id"), labels[label].cast("int").alias("y"))
+        labels.select(col(labels, id_col).cast("bigint").alias("id"), col(labels, label).cast("int").alias("y"))
         .dropna()
         .groupBy("id")
         .agg(F.min("y").alias("y"))
@@ -73,3 +84,24 @@ def first_labels(labels: DataFrame, label: str, per_class: int | tuple[int, ...]
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, ...], sample_bytes: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
+    """(id, text, y) of labelled documents, on the driver: at most ``per_class`` ids
+    of each class, and of those no more once ``sample_bytes`` of text are taken.
+
+    Of an id that several rows have the least text is used.  Only sizes, one row a
+    chosen id, are looked at before the texts.
+    """
+    chosen = first_labels(labels, label, per_class, id_col)
+    text = col(docs, text_col).cast("string")
+    rows = docs.select(col(docs, id_col).cast("bigint").alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
+    sizes = rows.groupBy("id", "y").agg(F.max(F.octet_length("text")).alias("size")).withColumn("at", F.xxhash64("id")).collect()
+    left, use = list(sample_bytes), []
+    for r in sorted(sizes, key=lambda r: (r.at, r.id)):
+        if left[r.y] > 0:
+            use.append((r.id,))
+            left[r.y] -= r.size or 0
+    if len(use) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(use, "id bigint")), "id")
+    return rows.groupBy("id", "y").agg(F.min("text").alias("text")).toArrow().sort_by([("id", "ascending")])

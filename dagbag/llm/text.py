@@ -93,13 +93,47 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - (offs[0] if len(offs) else 0), data
 
 
+def _lower_table() -> np.ndarray:
+    """Lower case by code point, where it is one character of as many bytes."""
+    table = np.arange(0x20000, dtype=np.uint32)
+    for c in range(0x80, 0x20000):
+        low = chr(c).lower()
+        if len(low) == 1 and ord(low) != c and len(low.encode()) == len(chr(c).encode()):
+            table[c] = ord(low)
+    return table
+
+
+_LOWER: list[np.ndarray] = []
+
+
 def fold(data: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and of the two-byte Latin-1 letters; length is kept."""
+    """Lower case of all letters; every byte keeps its place.
+
+    The few letters whose lower case has another number of bytes (a dotted capital
+    I, the signs for kelvin, ohm and angstrom, a dozen of phonetic use) stay.
+    """
     out = data.copy()
     np.add(out, 32, out=out, where=(data >= 65) & (data <= 90))
-    lead = np.flatnonzero(data[:-1] == 0xC3) + 1
-    lead = lead[(data[lead] >= 0x80) & (data[lead] <= 0x9E) & (data[lead] != 0x97)]
-    out[lead] += 0x20
+    lead = np.flatnonzero(data >= 0xC3)  # nothing below U+00C0 has a lower case
+    if not len(lead):
+        return out
+    if not _LOWER:
+        _LOWER.append(_lower_table())
+    first = data[lead]
+    for size, low, high in ((2, 0xC3, 0xDF), (3, 0xE1, 0xEF), (4, 0xF0, 0xF0)):
+        at = lead[(first >= low) & (first <= high)]
+        if not len(at):
+            continue
+        code = (data[at] & (0xFF >> (size + 1))).astype(np.uint32)
+        for k in range(1, size):
+            code = code << np.uint32(6) | (data[at + k] & 0x3F)
+        new = np.where(code < 0x20000, _LOWER[0][np.minimum(code, 0x1FFFF)], code)
+        changed = new != code
+        at, new = at[changed], new[changed]
+        for k in range(size - 1, 0, -1):
+            out[at + k] = (new & 0x3F | 0x80).astype(np.uint8)
+            new = new >> np.uint32(6)
+        out[at] = (new | np.uint32(0xFF00 >> size & 0xFF)).astype(np.uint8)
     return out
 
 

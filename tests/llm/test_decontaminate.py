@@ -1,9 +1,9 @@
 import re
 
 from dagbag.llm import decontaminate
-from tests.llm.conftest import prose
+from tests.llm.conftest import CLASHES, prose
 
-ITEMS = [(0, prose(50, 20)), (1, prose(51, 6)), (2, "too short"), (3, None), (None, prose(52, 12)), (5, prose(50, 20))]
+ITEMS = [(0, prose(50, 20)), (1, prose(51, 6)), (2, "too short"), (3, None), (None, prose(52, 12)), (5, prose(50, 20)), (6, "?!"), (7, "Какой это ГОРОД"), (8, prose(53, 5))]
 
 
 def benchmark(spark):
@@ -12,16 +12,18 @@ def benchmark(spark):
 
 def brute(text, n=8, least=5):
     """Words (by number) that are in a window of an item, and the items."""
-    norm = lambda t: re.findall(r"[0-9a-z]+|[^\x00-\x7f]+", (t or "").lower())
+    norm = lambda t: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", (t or "").lower())
     words, hit, items = norm(text), set(), set()
+    lines = [i for i, x in enumerate((text or "").split("\n")) for _ in norm(x)]
     for item, t in ITEMS:
         w = norm(t)
         k = min(n, len(w))
-        if k < least:
+        if not w:
             continue
         grams = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
         for i in range(len(words) - k + 1):
-            if tuple(words[i : i + k]) in grams:
+            whole = (i == 0 or lines[i - 1] < lines[i]) and (i + k == len(words) or lines[i + k - 1] < lines[i + k])
+            if tuple(words[i : i + k]) in grams and (k >= least or whole):
                 hit |= set(range(i, i + k))
                 items.add(-1 if item is None else item)
     return hit, sorted(items)
@@ -32,6 +34,7 @@ def texts():
     return [
         clean[0], clean[1] + "\n" + ITEMS[0][1].upper().replace(" ", ",  ") + " " + clean[2], ITEMS[1][1], clean[3][:200] + " " + ITEMS[4][1] + "! é " + ITEMS[1][1],
         "x " + ITEMS[0][1][:30], " ".join(ITEMS[0][1].split()[3:12]) + " " + clean[0], None, "",
+        "it is too short here", clean[1] + "\n- Too SHORT!\n" + clean[2], "too short", "какой ЭТО город", clean[0] + " " + ITEMS[8][1] + "\nx",
     ]
 
 
@@ -74,6 +77,10 @@ def test_clean_applies_the_report(spark):
 def test_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.report(odd_docs, benchmark(spark)).count() == 0
     assert decontaminate.clean(odd_docs, benchmark(spark)).count() == 12
+    leaky = odd_docs.unionByName(spark.createDataFrame([(70, "x y " + ITEMS[0][1], "", "", 0)] * 2, odd_docs.schema)).selectExpr("*", *CLASHES)
+    for limit in (60, 1 << 20):
+        out = decontaminate.clean(leaky, benchmark(spark), drop_share=1.0, limit=limit)
+        assert out.columns == leaky.columns and out.count() == 14 and [r.text for r in out.collect() if r.doc_id == 70] == ["x y "] * 2
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.report(odd_docs, none).count() == 0 and decontaminate.clean(odd_docs, none).count() == 12
     assert decontaminate.report(no_docs, benchmark(spark)).count() == 0
