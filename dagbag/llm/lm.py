@@ -15,9 +15,11 @@ n-grams that are joined to it; both have their rows packed in blocks:
 1. Documents are dealt to chunks.  A chunk's n-grams of all orders become one
    sorted list of keys with counts, cut by bucket (the first bits of the key): rows
    (chunk, bucket, keys, counts), shuffled by bucket.
-2. :func:`count_table` adds the counts of a bucket's keys over all chunks: one row
-   (bucket, keys, counts), in the partition where the n-grams are already.  The join
-   on bucket and key gives every chunk the counts of the keys that it sent.
+2. Each bucket adds up the counts of its keys over all chunks, which is its part of
+   the count table, and joins it to the rows that it was made of: every chunk is
+   answered with the counts of the keys that it sent, in their order.  As a relation
+   of its own the table would be shuffled once more (2 x the input), because Spark
+   can't know that its rows are where their n-grams are.
 3. A chunk puts the answers beside its n-grams and sums the scores by document.
 
 Every n-gram occurrence is counted and looked up, but what is shuffled is one
@@ -142,17 +144,15 @@ def _count_words(docs: DataFrame, text_col: str) -> int:
     return rows.agg(F.sum("n")).first()[0] or 0
 
 
-def count_table(asked: DataFrame) -> DataFrame:
-    """(bucket, keys, counts) of rows (chunk, bucket, keys, counts): one row a bucket."""
-
-    def add(t: pa.Table) -> pa.Table:
-        lists = [unpack_keys(x.as_buffer()) for x in t["keys"]]
-        own = np.concatenate([unpack_counts(x.as_buffer(), len(k)) for x, k in zip(t["counts"], lists)])
-        kinds, inv = np.unique(np.concatenate(lists), return_inverse=True)
-        table = np.bincount(inv, weights=own, minlength=len(kinds)).astype(np.int64)
-        return pa.table({"bucket": t["bucket"][:1], "keys": pa.array([pack_keys(kinds)], pa.binary()), "counts": pa.array([pack_counts(table)], pa.binary())})
-
-    return asked.groupBy("bucket").applyInArrow(add, "bucket int, keys binary, counts binary")
+def answers_of(t: pa.Table) -> pa.Table:
+    """(chunk, bucket, counts) for the rows (chunk, bucket, keys, counts) of a bucket."""
+    lists = [unpack_keys(x.as_buffer()) for x in t["keys"]]
+    border = np.cumsum([0, *map(len, lists)])
+    own = np.concatenate([unpack_counts(x.as_buffer(), len(k)) for x, k in zip(t["counts"], lists)])
+    kinds, inv = np.unique(np.concatenate(lists), return_inverse=True)
+    table = np.bincount(inv, weights=own, minlength=len(kinds)).astype(np.int64)
+    back = [pack_counts(table[inv[s:e]]) for s, e in zip(border[:-1], border[1:])]
+    return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "counts": pa.array(back, pa.binary())})
 
 
 def score(docs: DataFrame, backoff: float = BACKOFF, chunk_tokens: int = CHUNK_TOKENS, bucket_keys: int = BUCKET_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,12 +184,6 @@ def score(docs: DataFrame, backoff: float = BACKOFF, chunk_tokens: int = CHUNK_T
             "keys": pa.array([pack_keys(k[s:e]) for s, e in zip(heads, ends)], pa.binary()), "counts": pa.array([pack_counts(c[s:e]) for s, e in zip(heads, ends)], pa.binary()),
         })
 
-    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
-        kinds = unpack_keys(table["keys"][0].as_buffer())
-        counts = unpack_counts(table["counts"][0].as_buffer(), len(kinds))
-        back = [pack_counts(counts[np.searchsorted(kinds, unpack_keys(x.as_buffer()))]) for x in asked["keys"]]
-        return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "counts": pa.array(back, pa.binary())})
-
     def put(docs: pa.Table, answers: pa.Table) -> pa.Table:
         first, place, keys = chunk_keys(docs["text"].combine_chunks(), bits)
         sizes = np.cumsum([0, *map(len, keys)])
@@ -212,8 +206,8 @@ def score(docs: DataFrame, backoff: float = BACKOFF, chunk_tokens: int = CHUNK_T
         mean = np.divide(s, size, out=np.zeros(len(s)), where=size > 0)
         return pa.table({"doc_id": docs["doc_id"], "n_tokens": pa.array(size), "log_score": pa.array(s), "mean_log_score": pa.array(mean, mask=size == 0)})
 
-    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk int, bucket int, keys binary, counts binary").repartition("bucket")
-    answers = asked.groupBy("bucket").cogroup(count_table(asked).groupBy("bucket")).applyInArrow(answer, "chunk int, bucket int, counts binary")
+    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk int, bucket int, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(answers_of, "chunk int, bucket int, counts binary")
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(put, "doc_id bigint, n_tokens bigint, log_score double, mean_log_score double")
 
 
