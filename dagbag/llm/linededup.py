@@ -37,8 +37,8 @@ from dagbag.llm import text as tx
 EDITS, PER_EDIT = 2, 8
 #: Numbers of candidate lines (8 bytes each) up to which they are broadcast.
 BROADCAST_LINES = 2_000_000
-#: Keys of a block and of a bucket (16 bytes each) at least; they grow with the root
-#: of the number of keys, so that a row of a block and bucket has ``ROW_KEYS``.
+#: Keys of a block (16 bytes each), of which a bucket has a quarter, at least; both grow
+#: with the root of the number of keys, so that a row of a block and bucket has ``ROW_KEYS``.
 FLUSH, ROW_KEYS, KEYS_PER_LINE = 1 << 20, 64, 12
 #: Lines under one key above which they are keyed anew; how often at most.
 HOT, ROUNDS = 4096, 7
@@ -262,8 +262,8 @@ def _occurrences(rows: DataFrame) -> DataFrame:
 def plan(lines: int, flush: int = FLUSH) -> tuple[int, int]:
     """(keys of a block, buckets) for so many lines."""
     keys = KEYS_PER_LINE * lines
-    size = max(flush, math.ceil(math.sqrt(ROW_KEYS * keys)))
-    return size, max(1, math.ceil(keys / size))
+    bucket = max(flush // 4, math.ceil(math.sqrt(ROW_KEYS / 2 * keys)))
+    return max(flush, 2 * bucket), max(1, math.ceil(keys / bucket))
 
 
 def _blocks(rows: DataFrame, edits: int, per_edit: int, flush: int, buckets: int, heavy: int) -> DataFrame:

@@ -173,7 +173,7 @@ def test_blocks_follow_the_corpus():
     for lines in (10**3, 10**6, 10**8, 10**10, 5 * 10**11):
         size, buckets = linededup.plan(lines)
         rows = 12 * lines / size * buckets
-        assert rows <= max(4, 2 * 12 * lines / linededup.ROW_KEYS) and size <= 20_000_000
+        assert rows <= max(4, 2 * 12 * lines / linededup.ROW_KEYS) and size <= 30_000_000
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
