@@ -16,47 +16,75 @@ from pyspark.sql import types as T
 from dagbag.plans.components import components
 from dagbag.plans.lineage import cut, drop
 
-#: Levels that a search goes down before its result is written.
-STEPS = 4
 #: Edges up to which a graph is contracted in one process.
 LOCAL_EDGES = 200_000
 
 
+def _doubled(links: DataFrame, n: int) -> DataFrame:
+    """(node, head, dist) for ``links(node, next, w)``, each node having one next: the
+    first node on the way that has none, and the sum of w up to it.
+
+    Pointers double, so a chain of n takes log n rounds.
+    """
+    now = cut(links.select("node", "next", "w"))
+    for _ in range(n.bit_length() + 1):
+        ahead = now.select(F.col("node").alias("next"), F.col("next").alias("next2"), F.col("w").alias("w2"))
+        new = cut(now.join(ahead, "next", "left").select("node", F.coalesce("next2", "next").alias("next"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), "next2"))
+        drop(now)
+        now = new
+        if now.filter("next2 is not null").isEmpty():
+            return now.select("node", F.col("next").alias("head"), F.col("w").alias("dist"))
+    raise ValueError("the graph has a cycle")
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): the length of the longest path that ends at the node.
 
+    Nodes of one parent hang from the next node above that hasn't just one, at a
+    known distance (found by doubling), and leave the graph; of the edges between
+    the same two nodes that this makes the longest stays, so that branches that
+    part and meet again become one edge.  Nodes whose parents all have levels get
+    theirs.  Both are repeated until no edge is left: rounds grow with how deeply
+    branches are nested and with the logarithm of their length, not with the depth.
     Raises ValueError if the graph has a cycle.
     """
-    edges = edges.select("src", "dst").distinct()
-    roots = nodes.select("node").join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
-    frontier, parts, level = roots.distinct().withColumn("level", F.lit(0)), [], 0
-    n = nodes.distinct().count()
+    nodes = cut(nodes.select("node").distinct())
+    n = nodes.count()
+    edges = cut(edges.select("src", "dst").distinct().withColumn("w", F.lit(1).cast("bigint")))
+    # longest way to a node from those that have levels; for the others edges tell
+    base = cut(nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0).cast("bigint")))
+    known, hanging = [], []
     while True:
-        # some steps a round, so that a deep graph isn't a written table a level
-        steps = [frontier]
-        for _ in range(STEPS):
-            level += 1
-            steps.append(steps[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(level)))
-        new = cut(reduce(DataFrame.unionAll, steps if not parts else steps[1:]))
-        parts.append(new)
-        frontier = new.filter(F.col("level") == level)
-        if frontier.isEmpty():
+        # what has no edge left has its level
+        rest = edges.select(F.col("dst").alias("node")).distinct()
+        have = cut(base.join(rest, "node", "left_anti"))
+        known.append(have)
+        if edges.isEmpty():
             break
-        if level > n:
-            raise ValueError("the graph has a cycle")
-        if len(parts) == 16:
-            parts = [cut(_highest(parts))]
-    out = _highest(parts)
+        from_known = have.select(F.col("node").alias("src"), "level")
+        told = edges.join(from_known, "src").select(F.col("dst").alias("node"), (F.col("level") + F.col("w")).alias("level"))
+        new_base = cut(base.join(rest, "node", "left_semi").unionAll(told).groupBy("node").agg(F.max("level").alias("level")))
+        new_edges = cut(edges.join(from_known, "src", "left_anti"))
+        single = new_edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("next"), F.min("w").alias("w")).filter("n = 1").drop("n")
+        single = cut(single.join(new_base, "node", "left_anti"))
+        if single.isEmpty():
+            if have.isEmpty():
+                raise ValueError("the graph has a cycle")
+            base, edges = new_base, new_edges
+            continue
+        found = _doubled(single, n)
+        hanging.append(found)
+        to = found.select(F.col("node").alias("src"), "head", "dist")
+        moved = new_edges.join(found.select(F.col("node").alias("dst")), "dst", "left_anti").join(to, "src", "left")
+        moved = moved.select(F.coalesce("head", "src").alias("src"), "dst", (F.col("w") + F.coalesce("dist", F.lit(0))).alias("w"))
+        base, edges = new_base, cut(moved.groupBy("src", "dst").agg(F.max("w").alias("w")))
+    out = cut(reduce(DataFrame.unionAll, known))
+    for found in reversed(hanging):
+        below = found.join(out.select(F.col("node").alias("head"), "level"), "head").select("node", (F.col("level") + F.col("dist")).alias("level"))
+        out = cut(out.unionAll(below))
     if out.count() < n:
         raise ValueError("the graph has a cycle")
-    return out
-
-
-def _highest(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.groupBy("node").agg(F.max("level").alias("level"))
+    return out.select("node", F.col("level").cast("int").alias("level"))
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
@@ -133,17 +161,21 @@ def merge_sets(members: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst): all pairs joined by a path of one edge or more."""
+    """(src, dst): all pairs joined by a path of one edge or more.
+
+    A round joins the pairs of the last one with the edges; pairs are written once,
+    by the round that finds them.
+    """
     base = cut(edges.select("src", "dst").distinct())
-    total, frontier = base, base
+    parts = [base]
     while True:
-        step = frontier.select("src", F.col("dst").alias("mid")).join(base.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        new = cut(step.join(total, ["src", "dst"], "left_anti"))
+        step = parts[-1].select("src", F.col("dst").alias("mid")).join(base.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        new = cut(step.join(reduce(DataFrame.unionAll, parts), ["src", "dst"], "left_anti"))
         if new.isEmpty():
-            return total
-        last, total, frontier = total, cut(total.unionAll(new)), new
-        if last is not base:
-            drop(last)
+            return reduce(DataFrame.unionAll, parts)
+        parts.append(new)
+        if len(parts) % 32 == 0:  # plans stay short
+            parts[1:-1] = [cut(reduce(DataFrame.unionAll, parts[1:-1]))]
 
 
 def bypass(nodes: DataFrame, edges: DataFrame, level: DataFrame | None = None) -> DataFrame:

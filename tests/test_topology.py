@@ -91,3 +91,26 @@ def test_numbering_and_adjacency(spark):
 def test_merging_sets(spark):
     members = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "x")], "set int, element string")
     assert {r.element: r.component for r in topology.merge_sets(members).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x"}
+
+
+def test_levels_of_a_long_chain_take_few_rounds(spark):
+    """50 000 commits in a row, with a bubble now and then and a bypassing edge."""
+    n = 50_000
+    rows = spark.range(n).selectExpr("id as node")
+    chain = spark.range(1, n).selectExpr("id - 1 as src", "id as dst")
+    skips = spark.range(10, n, 1000).selectExpr("id - 10 as src", "id as dst")
+    got = topology.levels(rows, chain.unionAll(skips))
+    assert got.filter("node <> level").count() == 0 and got.count() == n
+
+
+def test_levels_of_a_dense_graph_and_cycles(spark):
+    r = random.Random(7)
+    n = 60
+    es = {(a, b) for b in range(n) for a in range(max(0, b - 9), b) if r.random() < 0.3}
+    longest = {}
+    for x in range(n):
+        longest[x] = max([longest[p] + 1 for p, c in es if c == x], default=0)
+    assert {x.node: x.level for x in topology.levels(*frames(spark, range(n), sorted(es), "bigint")).collect()} == longest
+    for bad in ([(0, 1), (1, 2), (2, 0)], [(0, 1), (1, 2), (2, 1), (0, 2)], [(5, 5)], [(0, 1), (2, 3), (3, 2)]):
+        with pytest.raises(ValueError, match="cycle"):
+            topology.levels(*frames(spark, range(6), bad, "bigint"))
