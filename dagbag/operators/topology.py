@@ -26,14 +26,15 @@ def _doubled(links: DataFrame, n: int) -> DataFrame:
 
     Pointers double, so a chain of n takes log n rounds.
     """
-    now = cut(links.select("node", "next", "w"))
+    table = cut(links.select("node", "next", "w"))
     for _ in range(n.bit_length() + 1):
+        now = table.select("node", "next", "w")
         ahead = now.select(F.col("node").alias("next"), F.col("next").alias("next2"), F.col("w").alias("w2"))
         new = cut(now.join(ahead, "next", "left").select("node", F.coalesce("next2", "next").alias("next"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), "next2"))
-        drop(now)
-        now = new
-        if now.filter("next2 is not null").isEmpty():
-            return now.select("node", F.col("next").alias("head"), F.col("w").alias("dist"))
+        drop(table)
+        table = new
+        if table.filter("next2 is not null").isEmpty():
+            return table.select("node", F.col("next").alias("head"), F.col("w").alias("dist"))
     raise ValueError("the graph has a cycle")
 
 
