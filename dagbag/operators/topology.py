@@ -111,6 +111,31 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return numbered(levels(nodes, edges), "level", "node")
 
 
+def preorder(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root, pos, end, parent): places in a preorder of a spanning forest.
+
+    A node's tree parent is its least one.  Nodes below it have the positions from
+    ``pos`` to before ``end`` of the tree of ``root``.  The way round a tree, in at
+    each node and out again, is a list; places follow from distances to its end, which
+    are found by doubling, so rounds grow with the logarithm of the size of a tree.
+    """
+    nodes = cut(nodes.select("node").distinct())
+    tree = cut(edges.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")))
+    placed = cut(numbered(tree, "parent", "node", name="at"))
+    after = placed.select((F.col("at") - 1).alias("at"), F.col("parent").alias("same"), F.col("node").alias("sibling"))
+    siblings = placed.join(after, "at", "left").select("node", "parent", F.when(F.col("same") == F.col("parent"), F.col("sibling")).alias("sibling"))
+    firsts = tree.groupBy(F.col("parent").alias("node")).agg(F.min("node").alias("child"))
+    step = lambda n, out: F.struct(n.alias("n"), F.lit(out).alias("out"))
+    into = nodes.join(firsts, "node", "left").select(step(F.col("node"), False).alias("node"), F.when(F.col("child").isNotNull(), step(F.col("child"), False)).otherwise(step(F.col("node"), True)).alias("next"), F.lit(1).cast("bigint").alias("w"))
+    back = siblings.select(step(F.col("node"), True).alias("node"), F.when(F.col("sibling").isNotNull(), step(F.col("sibling"), False)).otherwise(step(F.col("parent"), True)).alias("next"), F.lit(0).cast("bigint").alias("w"))
+    left = cut(_doubled(into.unionAll(back), 2 * nodes.count()))
+    came = left.filter("not node.out").select(F.col("node.n").alias("node"), F.col("head.n").alias("root"), F.col("dist").alias("begin"))
+    went = left.filter("node.out").select(F.col("node.n").alias("node"), F.col("dist").alias("rest"))
+    total = came.filter("node = root").select("root", F.col("begin").alias("total"))
+    out = came.join(total, "root").join(went, "node", "left").join(tree, "node", "left")
+    return out.select("node", "root", (F.col("total") - F.col("begin")).alias("pos"), (F.col("total") - F.coalesce("rest", F.lit(0))).alias("end"), "parent")
+
+
 def component_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component, level, position): topological order, one component after
     the other."""
