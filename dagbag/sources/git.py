@@ -4,12 +4,16 @@
 ``table`` reads
 
 * ``commits``: address, sha, time, message, author_name, author_mail, parents
-* ``trees``: address, sha, path, object_id (every file of every commit)
+* ``diffs``: address, sha, parent, path, old_object_id, object_id (files that differ
+  between a commit and each of its parents, a null one for commits without)
+* ``trees``: address, sha, path, object_id (every file of every commit; only needed
+  where a commit's tree is asked for by itself)
 * ``blobs``: address, object_id, content (every file content once)
 * ``blame``: address, path, author_name, author_mail, n_lines (at HEAD)
 
 An address is a ``file:///`` URL of a repository, an ``http`` URL, or
-``owner/name`` on GitHub; the latter two are cloned once, bare, into ``cache``.
+``owner/name`` on GitHub; the latter two are cloned once, bare, into ``cache``, a
+folder that all executors mount.
 Reading runs git in every task, so :func:`ingest` writes the tables once as
 Parquet, and analyses read those.
 """
@@ -22,20 +26,24 @@ import re
 import subprocess
 import tempfile
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from dagbag.operators.changes import Changes
 from dagbag.operators.history import History
+from dagbag.plans.lineage import shared_dir
 
 SCHEMAS = {
     "commits": "address string, sha string, time bigint, message string, author_name string, author_mail string, parents array<string>",
+    "diffs": "address string, sha string, parent string, path string, old_object_id string, object_id string",
     "trees": "address string, sha string, path string, object_id string",
     "blobs": "address string, object_id string, content binary",
     "blame": "address string, path string, author_name string, author_mail string, n_lines bigint",
 }
-#: Commits (of trees) or objects (of blobs) that one task reads.
+#: Commits (of diffs and trees) or objects (of blobs) that one task reads.
 SHARE = 500
 
 
@@ -46,14 +54,31 @@ def _git(path: str, *args: str, data: bytes | None = None) -> bytes:
     return done.stdout
 
 
+def _stream(path: str, *args: str, data: bytes | None = None, end: bytes = b"\0") -> Iterator[bytes]:
+    """What git writes, piece by piece, without holding all of it."""
+    with tempfile.TemporaryFile() as given:  # a file can't block as a pipe may
+        given.write(data or b"")
+        given.seek(0)
+        run = subprocess.Popen(["git", "-c", "safe.directory=*", "-C", path, *args], stdin=given, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+        rest = b""
+        while chunk := run.stdout.read(1 << 20):
+            *whole, rest = (rest + chunk).split(end)
+            yield from whole
+        if rest:
+            yield rest
+        if run.wait():
+            raise RuntimeError(f"git {args[0]} in {path} failed")
+
+
 def local_repository(address: str, cache: str | None = None) -> str:
     """Folder of a repository; one that isn't local is cloned under a lock."""
     if address.startswith("file://"):
         return address[len("file://") :]
+    if not cache:
+        raise ValueError(f"{address} has to be cloned: name a folder that all executors mount as cache")
     url = address if address.startswith("http") else f"https://github.com/{address}.git"
-    folder = cache or os.path.join(tempfile.gettempdir(), "dagbag-git")
-    os.makedirs(folder, exist_ok=True)
-    target = os.path.join(folder, re.sub(r"[^A-Za-z0-9._-]+", "_", address))
+    os.makedirs(cache, exist_ok=True)
+    target = os.path.join(cache, re.sub(r"[^A-Za-z0-9._-]+", "_", address))
     with open(target + ".lock", "w") as lock:
         fcntl.flock(lock, fcntl.LOCK_EX)
         if not os.path.exists(target + ".ready"):
@@ -67,11 +92,37 @@ def has_head(path: str) -> bool:
 
 
 def _commits(address: str, path: str) -> Iterator[tuple]:
-    log = _git(path, "log", "--format=%H%x1f%P%x1f%ct%x1f%an%x1f%ae%x1f%B%x1e", "HEAD").decode(errors="replace")
-    for entry in log.split("\x1e"):
-        if "\x1f" in entry:
-            sha, parents, seconds, name, mail, message = entry.lstrip("\n").split("\x1f")
-            yield address, sha, int(seconds), message.rstrip("\n"), name, mail, parents.split()
+    # the message comes last, whatever bytes it has
+    for entry in _stream(path, "log", "-z", "--format=%H%x1f%P%x1f%ct%x1f%an%x1f%ae%x1f%B", "HEAD"):
+        sha, parents, seconds, name, mail, message = entry.decode(errors="replace").split("\x1f", 5)
+        yield address, sha, int(seconds), message.rstrip("\n"), name, mail, parents.split()
+
+
+def _diffs(address: str, path: str, part: int, of: int) -> Iterator[tuple]:
+    mine, trees, empty = [], {}, _git(path, "hash-object", "-t", "tree", "--stdin").decode().strip()
+    for i, entry in enumerate(_stream(path, "log", "--format=%H %T %P", "HEAD", end=b"\n")):
+        sha, tree, *parents = entry.decode().split()
+        if i % of == part:
+            mine.append((sha, tree, parents))
+        trees[sha] = tree
+    pairs = [(sha, p, trees[p] if p else empty, tree) for sha, tree, parents in mine for p in parents or [None]]
+    if not pairs:
+        return
+    # "old new" of each pair, a line feed, then for each file ":modes ids status", NUL, path, NUL
+    at, meta = -1, None
+    for piece in _stream(path, "diff-tree", "--stdin", "-r", "-z", "--raw", "--no-renames", "--no-abbrev", data="".join(f"{a} {b}\n" for _, _, a, b in pairs).encode()):
+        if meta is None:
+            *heads, meta = piece.split(b"\n")
+            at += len(heads)
+            if not meta.startswith(b":"):
+                meta = None
+            continue
+        _, new_mode, old, new, status = meta[1:].split()
+        sha, parent, _, _ = pairs[at]
+        if not (meta[1:7] == b"160000" or new_mode == b"160000"):  # commits of other repositories
+            side = lambda x: None if set(x) == {ord("0")} else x.decode()
+            yield address, sha, parent, piece.decode(errors="replace"), side(old), side(new)
+        meta = None
 
 
 def _trees(address: str, path: str, part: int, of: int) -> Iterator[tuple]:
@@ -86,11 +137,22 @@ def _trees(address: str, path: str, part: int, of: int) -> Iterator[tuple]:
 
 
 def _blobs(address: str, path: str, part: int, of: int) -> Iterator[tuple]:
-    ids = sorted({x.split(" ")[0] for x in _git(path, "rev-list", "--objects", "HEAD").decode(errors="replace").splitlines()})
+    """One process for all: header, content and a line feed of each object."""
+    ids = sorted({x.split(b" ")[0].decode() for x in _stream(path, "rev-list", "--objects", "HEAD", end=b"\n")})
     mine = [x for x in ids if int(x[:8], 16) % of == part]
-    kinds = _git(path, "cat-file", "--batch-check=%(objectname) %(objecttype)", data="\n".join(mine).encode() + b"\n" if mine else b"").decode().splitlines()
-    for object_id in (k.split()[0] for k in kinds if k.endswith(" blob")):
-        yield address, object_id, _git(path, "cat-file", "blob", object_id)
+    if not mine:
+        return
+    kinds = _git(path, "cat-file", "--batch-check=%(objectname) %(objecttype)", data="\n".join(mine).encode() + b"\n").decode().splitlines()
+    with tempfile.TemporaryFile() as given:
+        given.write("".join(k.split()[0] + "\n" for k in kinds if k.endswith(" blob")).encode())
+        given.seek(0)
+        run = subprocess.Popen(["git", "-c", "safe.directory=*", "-C", path, "cat-file", "--batch"], stdin=given, stdout=subprocess.PIPE)
+        while head := run.stdout.readline():
+            object_id, _, size = head.decode().split()
+            yield address, object_id, run.stdout.read(int(size))
+            run.stdout.read(1)
+        if run.wait():
+            raise RuntimeError(f"git cat-file in {path} failed")
 
 
 def _blame(address: str, path: str) -> Iterator[tuple]:
@@ -123,7 +185,7 @@ class _Reader(DataSourceReader):
         out: list[InputPartition] = []
         for a in self.addresses:
             of = 1
-            if self.table in ("trees", "blobs"):
+            if self.table in ("diffs", "trees", "blobs"):
                 path = local_repository(a, self.cache)
                 of = 1 + (int(_git(path, "rev-list", "--count", "HEAD")) if has_head(path) else 0) // SHARE
             out += [_Part(a, i, of) for i in range(of)]
@@ -135,6 +197,8 @@ class _Reader(DataSourceReader):
             return
         if self.table == "commits":
             yield from _commits(partition.address, path)
+        elif self.table == "diffs":
+            yield from _diffs(partition.address, path, partition.part, partition.of)
         elif self.table == "trees":
             yield from _trees(partition.address, path, partition.part, partition.of)
         elif self.table == "blobs":
@@ -156,6 +220,11 @@ class GitDataSource(DataSource):
 
 
 def read_table(spark: SparkSession, addresses: list[str], table: str, cache: str | None = None) -> DataFrame:
+    if cache is None and not all(a.startswith("file://") for a in addresses):
+        shared = shared_dir(spark)
+        if not shared.startswith(("file:", "/")):
+            raise ValueError("name a folder that all executors mount as cache")
+        cache = urlparse(shared).path + "/git"
     spark.dataSource.register(GitDataSource)
     reader = spark.read.format("dagbag_git").option("addresses", "\n".join(addresses)).option("table", table)
     return (reader.option("cache", cache) if cache else reader).load()
@@ -167,6 +236,9 @@ def ingest(spark: SparkSession, addresses: list[str], folder: str, tables: tuple
         read_table(spark, addresses, table, cache).write.mode("overwrite").parquet(f"{folder}/{table}")
 
 
+_TABLES = ("commits", "trees", "blobs", "blame", "diffs")
+
+
 class Repositories:
     """Tables of repositories, and histories over their commits.
 
@@ -174,16 +246,16 @@ class Repositories:
     commit without parents hangs from.
     """
 
-    def __init__(self, commits: DataFrame, trees: DataFrame | None = None, blobs: DataFrame | None = None, blames: DataFrame | None = None):
-        self.commits, self.trees, self.blobs, self.blames = commits, trees, blobs, blames
+    def __init__(self, commits: DataFrame, trees: DataFrame | None = None, blobs: DataFrame | None = None, blames: DataFrame | None = None, diffs: DataFrame | None = None):
+        self.commits, self.trees, self.blobs, self.blames, self.diffs = commits, trees, blobs, blames, diffs
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Repositories:
-        return cls(*[spark.read.parquet(f"{folder}/{t}") for t in ("commits", "trees", "blobs", "blame")])
+        return cls(*[spark.read.parquet(f"{folder}/{t}") for t in _TABLES])
 
     @classmethod
     def of(cls, spark: SparkSession, addresses: list[str], cache: str | None = None) -> Repositories:
-        return cls(*[read_table(spark, addresses, t, cache) for t in ("commits", "trees", "blobs", "blame")])
+        return cls(*[read_table(spark, addresses, t, cache) for t in _TABLES])
 
     def history(self, roots: DataFrame | None = None) -> History:
         """Every commit has itself, once.  ``roots(address)`` adds the root of
@@ -220,11 +292,25 @@ class Repositories:
     def resources(self, h: History, suffix: str | None = None) -> History:
         """(path, resource) of every file of the commits that are a node's keys;
         ``suffix`` filters paths where they are read."""
+        if self.trees is None:
+            return self.resource_changes(suffix).states()
         trees = self.trees if suffix is None else self.trees.filter(F.col("path").endswith(suffix))
         rows = h.values().join(trees, (F.col("key.address") == F.col("address")) & (F.col("key.sha") == F.col("sha")))
         values = rows.select("node", "path", F.struct("address", "object_id").alias("resource"), "val")
         return History.from_frames(h.nodes(), h.edges(), values, ["path", "resource"])
 
+    def resource_changes(self, suffix: str | None = None) -> Changes:
+        """:meth:`resources` of the whole history in change form: rows are the files that
+        commits change, not those that they have."""
+        diffs = self.diffs if suffix is None else self.diffs.filter(F.col("path").endswith(suffix))
+        end = lambda c: F.struct(F.col("address"), F.col(c).alias("sha"))
+        sides = F.array(*[F.struct(F.col(c).alias("object_id"), F.lit(v).cast("bigint").alias("val")) for c, v in (("old_object_id", -1), ("object_id", 1))])
+        rows = diffs.select("address", F.struct(end("parent").alias("src"), end("sha").alias("dst")).alias("node"), "path", F.explode(sides).alias("s")).filter("s.object_id is not null")
+        rows = rows.select("node", "path", F.struct("address", "s.object_id").alias("resource"), "s.val")
+        h = self.history()
+        none = rows.filter(F.lit(False)).select(F.col("node.src").alias("node"), "path", "resource", "val")
+        return Changes.from_frames(h.nodes(), h.edges(), none, rows, History.from_frames(h.nodes(), h.edges(), none, ["path", "resource"]))
+
     def tree(self, address: str, sha: str, suffix: str = "") -> DataFrame:
         """(path, resource) of one commit."""
         found = self.trees.filter((F.col("address") == address) & (F.col("sha") == sha) & F.col("path").endswith(suffix))

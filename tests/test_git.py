@@ -92,6 +92,45 @@ def test_resources_and_differences(tables, repo):
     assert changed[ids["delete"]] == {"notes.txt": -1} and ids["empty"] not in changed
 
 
+def test_diffs_are_what_trees_differ_by(tables, repo):
+    address, ids = repo
+    trees = {}
+    for r in tables.trees.collect():
+        trees.setdefault(r.sha, {})[r.path] = r.object_id
+    want = set()
+    for c in tables.commits.collect():
+        for p in c.parents or [None]:
+            old, new = trees.get(p, {}), trees.get(c.sha, {})
+            want |= {(c.sha, p, x, old.get(x), new.get(x)) for x in old.keys() | new.keys() if old.get(x) != new.get(x)}
+    assert {(r.sha, r.parent, r.path, r.old_object_id, r.object_id) for r in tables.diffs.collect()} == want
+    assert (ids["delete"], ids["merge"], "notes.txt") in {x[:3] for x in want} and not [x for x in want if x[0] == ids["empty"]]
+
+
+def test_resources_from_changes(tables):
+    changes = tables.resource_changes()
+    flat = lambda h: sorted(map(str, h.values().collect()))
+    want = tables.resources(tables.history())
+    assert flat(changes.states()) == flat(want)
+    assert flat(changes.diff(False)) == flat(want.diff(False))
+    by_path = lambda h: h.tmap(lambda path, resource: path)
+    assert flat(by_path(changes).length().states()) == flat(by_path(want).length())
+    alone = git.Repositories(tables.commits, None, tables.blobs, None, tables.diffs)
+    assert flat(alone.resources(alone.history(), ".java")) == flat(tables.resources(tables.history(), ".java"))
+
+
+def test_messages_with_any_bytes(spark, tmp_path):
+    path = str(tmp_path / "odd")
+    for args in (["init", "-q", path], ["-C", path, "-c", "user.name=A", "-c", "user.email=a@x", "commit", "-q", "--allow-empty", "-m", "one \x1f two \x1e three\n\nbody"]):
+        subprocess.run(["git", *args], check=True)
+    (c,) = git.read_table(spark, [f"file://{path}"], "commits").collect()
+    assert c.message == "one \x1f two \x1e three\n\nbody" and c.parents == []
+
+
+def test_clones_need_a_shared_folder():
+    with pytest.raises(ValueError, match="mount"):
+        git.local_repository("owner/name")
+
+
 def test_contents(tables, repo):
     address, ids = repo
     assert tables.contents().count() == 4  # equal contents once

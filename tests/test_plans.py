@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dagbag.config import setting
 from dagbag.functions import text
-from dagbag.functions.isolated import Isolated
+from dagbag.functions.isolated import Isolated, Pool
 from dagbag.functions.groups import map_add, map_invert, map_multiply
 from dagbag.operators import History
 from dagbag.plans import delta, guard
@@ -113,3 +113,6 @@ def test_isolated_calls():
 
     with Isolated(f, 0.5, -1) as g:
         assert [g(x) for x in (4, 1, 5, 2, 3, 8)] == [10, -1, 5, -1, -1, 2]
+        assert g.peak_mb > 1
+    with Pool(f, 0.5, -1, 3) as g:
+        assert g.map([4, 1, 5, 2, 3, 8] * 2) == [10, -1, 5, -1, -1, 2] * 2
