@@ -124,7 +124,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int
             f, share = samples[i]
             lr = rate * weight[y[i]] * (1 - step / steps)
             step += 1
-            if not len(f):
+            if not share.any():  # no tokens
                 continue
             rows = table[f]
             hidden = share @ rows

@@ -119,6 +119,17 @@ def test_fit_and_keep(spark):
     assert quality.fit(docs, labels, per_class=3) is not None
 
 
+def test_labelled_documents_without_tokens_teach_nothing(spark):
+    texts, y = corpus(20)
+    rows = list(enumerate(texts)) + [(900, ""), (901, None), (902, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)] + [(900, 1), (901, 0), (902, 1)], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels)
+    assert np.isfinite(model.margin).all()
+    got = {r.doc_id: r.keep for r in quality.score(docs, model).collect()}
+    assert np.mean([got[i] == bool(v) for i, v in enumerate(y)]) > 0.95 and not any(got[i] for i in (900, 901, 902))
+
+
 def test_odd_rows_and_no_labels(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert quality.fit(odd_docs, none) is None
