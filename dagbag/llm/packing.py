@@ -26,6 +26,8 @@ from dagbag.llm import text as tx
 CAPACITY = 32_768
 QUADRATIC = 12_288
 SHARD_SEQUENCES = 256
+#: Rows of the same id and size above which they are dealt to all shards.
+CROWDED = 10_000
 
 SCHEMA = "doc_id bigint, piece int, n_pieces int, token_start bigint, n_tokens bigint, cost double, shard int, sequence int, slot int"
 
@@ -59,7 +61,7 @@ def fill(n_tokens: np.ndarray, cost: np.ndarray, capacity: int) -> tuple[np.ndar
     return seq, slot
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, quadratic: float = QUADRATIC, shard_sequences: int = SHARD_SEQUENCES, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, quadratic: float = QUADRATIC, shard_sequences: int = SHARD_SEQUENCES, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None, crowded: int = CROWDED) -> DataFrame:
     """Assign every document to a sequence of at most ``capacity`` tokens.
 
     One row a piece: ``doc_id, piece, n_pieces, token_start, n_tokens, cost,
@@ -69,16 +71,24 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, quadratic: float = QUADRATIC
 
     Null or empty texts have 0 tokens: one row with null sequence and slot.
     Null ids are packed like any other.  Repeated rows are packed once each.
-    Ties are broken by id and piece.  An empty table gives no rows.  Other
-    columns are ignored, whatever their names.
+    Ties are broken by id and piece.  A text of any length is counted whole.  An
+    empty table gives no rows.  Other columns are ignored, whatever their names.
     """
     tokens = frames.cut(counts if counts is not None else token_counts(docs, id_col, text_col))
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, math.ceil(total / (capacity * shard_sequences)))
     n, cap = F.col("n_tokens"), F.lit(capacity).cast("bigint")
+    # very many rows of one id and size go round the shards; which of them is where makes no difference
+    crowd = frames.cut(tokens.groupBy("doc_id", "n_tokens").count().filter(F.col("count") > crowded))
+    salt = F.lit(0)
+    if not crowd.isEmpty():
+        crowd = crowd.select(F.col("doc_id").alias("id"), F.col("n_tokens").alias("size"), F.lit(1).alias("many"))
+        tokens = tokens.withColumn("no", F.monotonically_increasing_id()).join(crowd, F.expr("doc_id <=> id and n_tokens = size"), "left")
+        salt = F.when(F.col("many") == 1, F.col("no")).otherwise(0)
     pieces = (
         tokens.withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(n / cap)).cast("int"))
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int"))
+        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", salt), F.lit(shards)).cast("int"))
+        .select("doc_id", "n_tokens", "n_pieces", "shard")
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
         .withColumn("token_start", F.col("piece") * cap)
         .withColumn("n_tokens", F.least(cap, n - F.col("token_start")))

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 from dagbag.llm import packing
+from tests.llm.conftest import CLASHES
 
 
 def brute(rows, capacity, quadratic):
@@ -50,9 +51,20 @@ def test_odd_rows_and_long_documents(odd_docs):
     assert len({r.shard for r in rows}) > 1
 
 
+def test_many_rows_of_one_id_and_size_go_to_all_shards(spark):
+    df = spark.createDataFrame([(None, "a b c d")] * 3000 + [(i, "a b") for i in range(50)], "doc_id bigint, text string")
+    rows = packing.pack(df, capacity=20, shard_sequences=10, crowded=100).collect()
+    check(rows, 20)
+    assert len(rows) == 3050 and sum(r.doc_id is None for r in rows) == 3000
+    per_shard = defaultdict(int)
+    for r in rows:
+        per_shard[r.shard] += 1
+    assert len(per_shard) > 50 and max(per_shard.values()) < 150
+
+
 def test_empty_table_other_columns_and_own_counts(spark, no_docs, odd_docs):
     assert packing.pack(no_docs).count() == 0
-    clash = odd_docs.selectExpr("*", "1 as shard", "2 as piece", "3 as n_tokens", "4 as cost")
+    clash = odd_docs.selectExpr("*", *CLASHES)
     assert packing.pack(clash).count() == 13  # the long text makes two pieces
     counts = spark.createDataFrame([(1, 7), (2, 3)], "doc_id bigint, n_tokens bigint")
     assert {r.doc_id: r.n_tokens for r in packing.pack(None, counts=counts).collect()} == {1: 7, 2: 3}
