@@ -98,7 +98,7 @@ REPOSITORY_ORACLE = """
 c as (select cast(o_orderkey as varchar) as sha, o_orderkey as node, cast(epoch(o_orderdate) as bigint) as time, o_orderstatus as author_name, concat(o_custkey, '@shop') as author_mail,
   concat(o_orderpriority, case when o_orderstatus = 'F' then ' fixes an Issue' else ' adds a prefix' end) as message from orders),
 t as (select cast(l_orderkey as varchar) as sha, concat('src/', l_linenumber, case when l_suppkey % 2 = 0 then '.java' else '.txt' end) as path, cast(l_partkey as varchar) as object_id from lineitem),
-f as (select cast(p_partkey as varchar) as object_id, concat('if ', p_name, chr(10), '// ', p_type, chr(10), 'for ', p_brand, chr(10)) as content from part),
+f as (select cast(p_partkey as varchar) as object_id, p_size % 5 as loops, concat('if ', p_name, chr(10), '// while ', p_type, repeat(concat(chr(10), 'for ', p_brand, ' "do"'), p_size % 5), case when p_size % 2 = 0 then chr(10) else '' end) as content from part),
 ce as (select cast(src as varchar) as src, cast(dst as varchar) as dst from e union all select null, cast(node as varchar) from n where node not in (select dst from e))
 """.strip()
 
@@ -117,6 +117,17 @@ def repository(spark: SparkSession, sf_dir: str) -> Repositories:
     trees = read(spark, sf_dir, "lineitem").select(
         F.lit("shop").alias("address"), F.col("l_orderkey").cast("string").alias("sha"), F.concat(F.lit("src/"), F.col("l_linenumber").cast("string"), kind).alias("path"), F.col("l_partkey").cast("string").alias("object_id")
     )
-    content = F.concat(F.lit("if "), "p_name", F.lit("\n// "), "p_type", F.lit("\nfor "), "p_brand", F.lit("\n"))
+    # a decision, a comment, 0 to 4 more decisions, and for some a line feed at the end
+    loops = F.repeat(F.concat(F.lit("\nfor "), "p_brand", F.lit(' "do"')), F.col("p_size").cast("int") % 5)
+    content = F.concat(F.lit("if "), "p_name", F.lit("\n// while "), "p_type", loops, F.when(F.col("p_size") % 2 == 0, "\n").otherwise(""))
     blobs = read(spark, sf_dir, "part").select(F.lit("shop").alias("address"), F.col("p_partkey").cast("string").alias("object_id"), F.encode(content, "UTF-8").alias("content"))
-    return Repositories(commits, trees, blobs)
+    pairs = commits.select("address", "sha", F.explode(F.when(F.size("parents") > 0, F.col("parents")).otherwise(F.array(F.lit(None).cast("string")))).alias("parent"))
+    files = lambda c: pairs.join(trees.select(F.col("sha").alias("__sha"), "path", "object_id"), F.col(c) == F.col("__sha")).drop("__sha")
+    side = lambda c, name: files(c).groupBy("sha", "parent", "path").agg(F.collect_list("object_id").alias(name))
+    old, new = side("parent", "old").alias("o"), side("sha", "new").alias("n")
+    both = old.join(new, F.expr("o.sha = n.sha and o.parent <=> n.parent and o.path = n.path"), "full_outer")
+    ids = F.arrays_zip(F.coalesce("old", F.array().cast("array<string>")).alias("a"), F.coalesce("new", F.array().cast("array<string>")).alias("b"))
+    first = lambda c: F.coalesce(f"o.{c}", f"n.{c}").alias(c)
+    diffs = both.select(F.lit("shop").alias("address"), first("sha"), first("parent"), first("path"), F.explode(ids).alias("x"))
+    diffs = diffs.select("address", "sha", "parent", "path", F.col("x.a").alias("old_object_id"), F.col("x.b").alias("object_id")).filter("not (old_object_id <=> object_id)")
+    return Repositories(commits, trees, blobs, diffs=diffs)

@@ -48,6 +48,19 @@ class Group:
         """Aggregates that add up a group of rows."""
         return [F.sum(c).cast(t).alias(c) for c, t in zip(self.columns, self.types)]
 
+    def fold(self) -> list[Column]:
+        """The same by :meth:`add` alone, for a group whose sum isn't that of its columns;
+        a subclass returns this from :meth:`total`.
+
+        The rows of one key are gathered in an array of that key, so they must be few;
+        their order is fixed.
+        """
+        rows = F.array_sort(F.collect_list(F.struct(*self.columns)))
+        zero = F.struct(*[z.alias(c) for z, c in zip(self.zero(), self.columns)])
+        of = lambda s: [s[c] for c in self.columns]
+        merge = lambda a, b: F.struct(*[x.cast(t).alias(c) for x, t, c in zip(self.add(of(a), of(b)), self.types, self.columns)])
+        return [F.aggregate(rows, zero, merge)[c].alias(c) for c in self.columns]
+
     def nonzero(self, a: Sequence[Column] | None = None) -> Column:
         a = [F.col(c) for c in self.columns] if a is None else a
         return reduce(or_, [x != 0 for x in a])

@@ -49,9 +49,13 @@ class History:
         return cls(nodes.select("node"), edges.select("src", "dst"), values.select("node", *keys, *group.columns), keys, group, outer, normal)
 
     @classmethod
-    def create(cls, spark: SparkSession, nodes: Callable[[], Iterable[Any]], parents: Callable[[Any], Iterable[Any]], values: Callable[[Any], dict[Any, Any]], node_type: str = "bigint", key_type: str = "string", group: Group = INTEGER) -> History:
-        """From three functions; the last two run once a node, on the executors."""
-        frame = spark.createDataFrame([(n,) for n in nodes()], f"node {node_type}")
+    def create(cls, spark: SparkSession, nodes: DataFrame | Callable[[], Iterable[Any]], parents: Callable[[Any], Iterable[Any]], values: Callable[[Any], dict[Any, Any]], node_type: str = "bigint", key_type: str = "string", group: Group = INTEGER) -> History:
+        """From three functions; the last two run once a node, on the executors.
+
+        Nodes may be a table (node) as well, which then stays where it is; those of a
+        function go through the driver.
+        """
+        frame = nodes.select(F.col("node").cast(node_type)) if isinstance(nodes, DataFrame) else spark.createDataFrame([(n,) for n in nodes()], f"node {node_type}")
 
         def in_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,23 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Remove the tables that :func:`cut` makes meanwhile, but those in the list given.
+
+    For work whose result is written before the end, so that nothing reads them later.
+    """
+    before, keep = len(_made), []
+    try:
+        yield keep
+    finally:
+        kept = {getattr(df, "_dagbag_path", None) for df in keep}
+        for path in _made[before:]:
+            if path not in kept:
+                _made.remove(path)
+                _remove(spark, path)
+
+
 def sweep(spark: SparkSession) -> None:
     """Remove all tables that :func:`cut` has made in this process; to be called
     when no DataFrame that reads them is needed any more."""

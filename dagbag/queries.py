@@ -14,6 +14,7 @@ from dagbag import fixtures as fx
 from dagbag.functions import text
 from dagbag.functions.groups import DOUBLE, map_add, map_invert, map_multiply
 from dagbag.operators import topology
+from dagbag.operators.changes import Changes
 from dagbag.operators.history import LINEAR, MEMOIZATION, History
 from dagbag.plans import delta, guard
 from dagbag.plans.lineage import cut
@@ -59,11 +60,19 @@ def create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return History.from_frames(l.nodes(), l.edges(), l.values().filter("node % 2 = 0").unionByName(odd)).values()
 
 
+def _from_functions(spark: SparkSession, sf_dir: str) -> History:
+    """Every fifth node has the one before it and itself halved as parents."""
+    return History.create(spark, fx.nodes(spark, sf_dir), lambda n: [n - 1, n // 2] if n % 5 == 0 else [], lambda n: {n * 2: n % 3}, "bigint", "bigint")
+
+
 @query("select node, node * 2 as key, cast(node % 3 as bigint) as val from n where node % 3 <> 0")
 def create_from_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = [r.node for r in fx.nodes(spark, sf_dir).toLocalIterator()]
-    h = History.create(spark, lambda: ids, lambda n: [], lambda n: {n * 2: n % 3}, "bigint", "bigint")
-    return h.values()
+    return _from_functions(spark, sf_dir).values()
+
+
+@query("select node - 1 as src, node as dst from n where node % 5 = 0 union all select node // 2, node from n where node % 5 = 0")
+def create_edges_from_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_functions(spark, sf_dir).edges()
 
 
 @query("select count(*) as size from n")
@@ -86,10 +95,11 @@ def topology_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.brands(spark, sf_dir).topology().values()
 
 
-@query("select n.node, cast(count(l.key) as bigint) as entries, cast(coalesce(sum(l.val), 0) as bigint) as total from n left join l on l.node = n.node group by 1")
-def index_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = F.aggregate("entries", F.lit(0).cast("bigint"), lambda a, e: a + e["val"])
-    return fx.brands(spark, sf_dir).index().select("node", F.size("entries").cast("bigint").alias("entries"), total.alias("total"))
+@query("select n.node, cast(case when l.key is null then -1 else row_number() over (partition by n.node order by l.key) - 1 end as int) as place, coalesce(l.key, '') as key, coalesce(l.val, 0) as val from n left join l on l.node = n.node")
+def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical array of every node, entry by entry; nodes without have one empty row."""
+    entries = fx.brands(spark, sf_dir).index().select("node", F.posexplode_outer("entries").alias("place", "e"))
+    return entries.select("node", F.coalesce("place", F.lit(-1)).alias("place"), F.coalesce("e.key", F.lit("")).alias("key"), F.coalesce("e.val", F.lit(0)).alias("val"))
 
 
 @query("select node, key, val from x", DIFF)
@@ -326,10 +336,10 @@ def group_ungroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.brand_quantities(spark, sf_dir).ungroup().group().ungroup().values()
 
 
-@query("select node, key1, count(*) as entries, cast(sum(val) as bigint) as total from b group by 1, 2")
+@query("select node, key1, key2, val from b")
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = F.aggregate(F.map_values("map"), F.lit(0).cast("bigint"), lambda a, v: a + v)
-    return fx.brand_quantities(spark, sf_dir).nested().select("node", "key1", F.size("map").cast("bigint").alias("entries"), total.alias("total"))
+    """Maps inside, entry by entry."""
+    return fx.brand_quantities(spark, sf_dir).nested().select("node", "key1", F.explode("map").alias("key2", "val"))
 
 
 @query("select node, key, val from l")
@@ -472,11 +482,11 @@ def _of_documents(name: str, f: Callable[[Column], Column], sql: str) -> None:
 _of_documents("fn_replace", lambda t: text.replace(t, {"the": "a", "of": "the"}), "regexp_replace(regexp_replace(text, 'of', 'the', 'g'), 'the', 'a', 'g')")
 _of_documents("fn_keep_letters", text.keep_letters, "regexp_replace(text, '[^A-Za-z]', ' ', 'g')")
 _of_documents("fn_split_camel_case", text.split_camel_case, r"regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')")
-_of_documents("fn_to_lower", lambda t: text.to_lower(text.keep_letters(t)), "lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g'))")
-_of_documents("fn_tokenize", lambda t: F.size(text.tokenize(t)).cast("bigint"), "len(list_filter(string_split(text, ' '), lambda t: t <> ''))")
+_of_documents("fn_to_lower", text.to_lower, "lower(text)")
+_of_documents("fn_tokenize", lambda t: F.array_join(text.tokenize(t), "|"), "array_to_string(list_filter(string_split(text, ' '), lambda t: t <> ''), '|')")
 _of_documents("fn_insert", lambda t: text.insert(t, "the", "-", 1), "regexp_replace(text, 'the', 't-he', 'g')")
 _of_documents("fn_mentions_issue", text.mentions_issue, "len(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g')), ' '), lambda t: t in ('issue', 'issues'))) > 0")
-_of_documents("fn_lines", lambda t: F.size(text.lines(t)).cast("bigint"), r"len(string_split(regexp_replace(text, '\n$', ''), chr(10)))")
+_of_documents("fn_lines", lambda t: F.array_join(text.lines(t), "|"), r"array_to_string(string_split(regexp_replace(text, '\n$', ''), chr(10)), '|')")
 
 
 @query("select o_orderkey, o_orderstatus <> 'O' as fix from orders")
@@ -567,23 +577,24 @@ def repo_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.repository(spark, sf_dir).tree_diff("shop", "1", "2")
 
 
-@repository("select object_id, cast(3 as bigint) as n_lines from f")
+@repository("select object_id, cast(2 + loops as bigint) as n_lines from f")
 def repo_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.repository(spark, sf_dir).line_counts().select("resource.object_id", "n_lines")
 
 
-@repository("select sha, case when author_name = 'F' then 'true' else 'false' end as fix, case when author_name = 'F' then 'true' else 'false' end as issue, author_mail as mail from c")
+@repository("""select sha, strftime(to_timestamp(time), '%Y-%m-%dT%H:%M:%SZ') as date, cast(author_name = 'F' as varchar) as fix, cast(author_name = 'F' as varchar) as issue, 'shop' as address,
+  cast((select count(*) from e where e.dst = c.node) as varchar) as parents, author_name as name, author_mail as mail from c""")
 def repo_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = fx.repository(spark, sf_dir).attributes()
-    return a.select("node.sha", *[F.col("attributes")[k].alias(k) for k in ("fix", "issue", "mail")])
+    return a.select("node.sha", *[F.col("attributes")[k].alias(k) for k in ("date", "fix", "issue", "address", "parents", "name", "mail")])
 
 
-@repository("select sha, cast(2 * count(*) as bigint) as key, cast(1 as bigint) as val from t join f using (object_id) where path like '%.java' group by 1")
+@repository("select sha, cast(sum(1 + loops) as bigint) as key, cast(1 as bigint) as val from t join f using (object_id) where path like '%.java' group by 1")
 def app_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(apps.complexity(fx.repository(spark, sf_dir)))
 
 
-@repository("select sha, cast(2 * count(*) as bigint) as key, cast(1 as bigint) as val from t join f using (object_id) where path like '%.java' group by 1")
+@repository("select sha, cast(sum(len(list_filter(string_split(rtrim(content, chr(10)), chr(10)), lambda x: not starts_with(ltrim(x), '//')))) as bigint) as key, cast(1 as bigint) as val from t join f using (object_id) where path like '%.java' group by 1")
 def app_lines_of_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(apps.lines_of_code(fx.repository(spark, sf_dir)))
 
@@ -618,10 +629,14 @@ def alias_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.unaliased(h, ids).values()
 
 
-@query("select node, key, val from l where false")
+@query("select 1 as step, node, key, -val as val from l union all select 3, node, key, 1 from l where false union all select 0, node, key, val from l")
 def cut_after_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the second operation on nothing is left to do."""
-    return guard.Watched.of(fx.brands(spark, sf_dir), guard.Cut(1)).inv().inv().values()
+    """The first operation is done as ever, from the second on nothing is left to do."""
+    l = fx.brands(spark, sf_dir)
+    first = guard.Watched.of(l, guard.Cut(1)).inv()
+    parts = [(0, l), (1, first), (3, first.inv().map_values(lambda v: v * 7))]
+    out = [h.values().select(F.lit(k).alias("step"), "node", "key", "val") for k, h in parts]
+    return out[0].unionAll(out[1]).unionAll(out[2])
 
 
 @query("select node, key, val from x", DIFF)
@@ -629,6 +644,46 @@ def watched_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.Watched.of(fx.brands(spark, sf_dir), guard.Logged()).diff().values()
 
 
+# -- change form -----------------------------------------------------------------
+
+
+def _changes(name: str, f: Callable[[Changes, Changes], Changes | History], like: str) -> None:
+    """A query over the changes along edges, with the oracle of the one over states."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x, y = Changes.of(fx.brands(spark, sf_dir)), Changes.of(fx.heavy_brands(spark, sf_dir))
+        y._order = x._order  # one graph
+        return f(x, y).values()
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = ORACLE_SQL[like]
+
+
+_changes("changes_states", lambda x, y: x, "flatten")
+_changes("changes_tmap_hom", lambda x, y: x.tmap_hom(lambda k, v: [(last(k), 2 * v), (F.lit("all"), v)]), "tmap_hom")
+_changes("changes_tmap_ix", lambda x, y: x.tmap_ix(lambda k, v: [(v, F.lit(1))]), "tmap_ix")
+_changes("changes_tmap_ix2", lambda x, y: x.tmap_ix2(lambda k, v, d: [(k, 2 * v * d - d * d)]), "tmap_ix2")
+_changes("changes_tadd", lambda x, y: x + y, "tadd")
+_changes("changes_tjoin", lambda x, y: x.tjoin(y), "tjoin")
+_changes("changes_length", lambda x, y: x.length(), "length")
+_changes("changes_diff", lambda x, y: x.diff(), "diff_all")
+
+
+@query("select node, count(*) over (partition by root) as size from (select node, comp as root from seq)")
+def preorder_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders are one tree; its root spans it and positions are unique."""
+    got = topology.preorder(*_ends(spark, sf_dir))
+    roots = got.filter("parent is null").select("root", (F.col("end") - F.col("pos")).alias("size"))
+    return got.groupBy("root", "pos").agg(F.min("node").alias("node")).join(roots, "root").select("node", "size")
+
+
+@repository("""select sha, path, object_id, cast(sum(val) as bigint) as val from (
+  select ce.dst as sha, t.path, t.object_id, 1 as val from ce join t on t.sha = ce.dst union all
+  select ce.dst, t.path, t.object_id, -1 from ce join t on t.sha = ce.src) x group by 1, 2, 3 having sum(val) <> 0""")
+def repo_changes_from_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(fx.repository(spark, sf_dir).resource_changes().diff()).withColumn("object_id", F.col("resource.object_id")).drop("resource")
+
+
 for _name in ("topology_", "sum_"):
     QUERIES[_name.rstrip("_")] = QUERIES.pop(_name)
     ORACLE_SQL[_name.rstrip("_")] = ORACLE_SQL.pop(_name)
