@@ -241,15 +241,15 @@ def _without(raw: bytes, cuts: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
-REPORT = "doc_id bigint, action string, items array<bigint>, n_words bigint, n_contaminated bigint, spans array<struct<start:bigint,end:bigint>>, text string"
+REPORT = "doc_id bigint, action string, items array<bigint>, n_words bigint, n_contaminated bigint, starts array<bigint>, ends array<bigint>, text string"
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS, gap: int = GAP, drop_share: float = DROP_SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each contaminated row of ``docs``: what is done to it.
 
     ``action`` is "remove document" (text null) or "remove spans" (text is what
-    remains; a share of just ``drop_share`` removes); ``spans`` are character
-    offsets in the original text, ``items`` all items with a hit, also where several
+    remains; a share of just ``drop_share`` removes); ``starts`` and ``ends`` are
+    character offsets of the spans in the original text, ``items`` all items with a hit, also where several
     hold the same words.  Rows that aren't listed stay as they are.  Null and empty
     texts have no hits; a text of any length is scanned whole; a null id
     stays null; repeated rows are listed each; null items count as item -1, null
@@ -265,7 +265,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = M
             whole = bad >= drop_share * total
             rows.append({
                 "doc_id": b.column(0)[d].as_py(), "action": "remove document" if whole else "remove spans", "items": items, "n_words": total, "n_contaminated": bad,
-                "spans": [{"start": int(char[s]), "end": int(char[e])} for s, e in cuts], "text": None if whole else _without(raw, cuts),
+                "starts": [int(char[s]) for s, _ in cuts], "ends": [int(char[e]) for _, e in cuts], "text": None if whole else _without(raw, cuts),
             })
         return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
@@ -275,7 +275,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = M
 
 _ARROW = pa.schema([
     ("doc_id", pa.int64()), ("action", pa.string()), ("items", pa.list_(pa.int64())), ("n_words", pa.int64()), ("n_contaminated", pa.int64()),
-    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("text", pa.string()),
+    ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("text", pa.string()),
 ])
 
 
@@ -300,3 +300,37 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MI
         return b.set_column(at, b.schema.field(at), texts).filter(pa.array(keep))
 
     return _found(docs, benchmark, n, min_words, gap, limit, id_col, text_col, item_col, bench_text_col, change, docs.schema)
+
+
+#: The same report in DuckDB (with arrays as text), by joining all windows of words to those of the items.
+ORACLE = r"""
+with texts as (
+  select true as doc, doc_id as id, text from documents union all select false, coalesce(item_id, -1), text from benchmark where text is not null
+), numbered as (select *, row_number() over () as row from texts
+), lists as (select *, regexp_extract_all(text, '[A-Za-z0-9\x{80}-\x{10ffff}]+|[^A-Za-z0-9\x{80}-\x{10ffff}]+') as ps from numbered
+), pieces as (select row, unnest(ps) as p, unnest(range(len(ps))) as i from lists
+), placed as (
+  select row, i, p, sum(length(p)) over before as e, sum(length(p) - length(replace(p, chr(10), ''))) over before as ln from pieces window before as (partition by row order by i)
+), words as (
+  select row, list(lower(p) order by i) as ws, list(ln order by i) as lns, list(e - length(p) order by i) as ss, list(e order by i) as es
+  from placed where regexp_matches(p, '^[A-Za-z0-9\x{80}-\x{10ffff}]') group by row
+), t as (select n.*, w.* exclude (row), len(ws) as n from words w join numbered n using (row)
+), sizes as (select distinct least(n, 8) as l from t where not doc
+), windows as (
+  select row, doc, id, n, lns, l, unnest(range(n - l + 1)) as k, ws from t, sizes where n >= l and (doc or least(n, 8) = l)
+), grams as (
+  select row, doc, id, l, k, array_to_string(ws[k + 1 : k + l], ' ') as g, (k = 0 or lns[k] < lns[k + 1]) and (k + l = n or lns[k + l] < lns[k + l + 1]) as alone from windows
+), hits as (
+  select d.row, d.k as s, d.k + d.l as e, b.id as item from grams d join grams b on d.doc and not b.doc and d.l = b.l and d.g = b.g and (d.l >= 5 or d.alone)
+), ends as (select row, s, e, max(e) over (partition by row order by s, e rows between unbounded preceding and 1 preceding) as before from hits
+), runs as (select row, s, e, sum(case when before is null or s > before + 4 then 1 else 0 end) over (partition by row order by s, e) as run from ends
+), spans as (select row, min(s) as s, max(e) as e from runs group by row, run
+), cuts as (
+  select row, text, id, n, e - s as bad, ss[s + 1] as a, es[e] as b, coalesce(lag(es[e]) over (partition by row order by s), 0) as last from spans join t using (row)
+), found as (
+  select row, id, n, sum(bad) as bad, list(cast(a as bigint) order by a) as starts, list(cast(b as bigint) order by a) as ends,
+    string_agg(substr(text, cast(last + 1 as bigint), cast(a - last as bigint)), '' order by a) || substr(any_value(text), cast(max(b) + 1 as bigint)) as left_text from cuts group by row, id, n
+), items as (select row, list_sort(list(distinct item)) as items from hits group by row)
+select id as doc_id, case when 2 * bad >= n then 'remove document' else 'remove spans' end as action, array_to_string(items, ',') as items, cast(n as bigint) as n_words, cast(bad as bigint) as n_contaminated,
+  array_to_string(starts, ',') as starts, array_to_string(ends, ',') as ends, case when 2 * bad >= n then null else left_text end as text from found join items using (row)
+"""
