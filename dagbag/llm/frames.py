@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,10 +13,6 @@ from dagbag.llm import text as tx
 from dagbag.plans.lineage import cut, drop, shared_dir  # noqa: F401
 
 
-def local_path(path: str) -> str:
-    return urlparse(path).path if path.startswith("file:") else path
-
-
 def quoted(name: str) -> str:
     """The name as it stands in expressions, whatever dots or ticks it has."""
     return "`" + name.replace("`", "``") + "`"

@@ -210,7 +210,8 @@ class Shard:
 
 
 def shards(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row a shard; shards' ranges of identifiers follow each other.
+    """One row a shard; shards' ranges of identifiers follow each other and meet only
+    where the rows of one identifier fill several shards.
 
     The documents are range-partitioned by identifier once and sorted where they
     land; a partition makes a shard for every ``shard_bytes``.  Null identifiers
@@ -218,8 +219,10 @@ def shards(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = S
     columns.  Null fields come back null, empty texts empty; a very long text is
     one long entry.  An empty table has no shards.  Other columns are ignored.
     """
-    rows = frames.inputs(docs, (id_col, "bigint"), (lang_col, "string"), (source_col, "string"), (text_col, "string"))
-    rows = rows.repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, lang_col, source_col, F.xxhash64(text_col))
+    rows = frames.inputs(docs, (id_col, "bigint"), (lang_col, "string"), (source_col, "string"), (text_col, "string")).toDF("id", "lang", "source", "text")
+    # all columns and a number count for the ranges, so that very many rows of one id, or equal ones, are several partitions
+    order = ["id", "lang", "source", "h", "no"]
+    rows = rows.withColumns({"h": F.xxhash64("text"), "no": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("id", "lang", "source", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Writer(block_bytes)

@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -138,24 +139,23 @@ def read_record(content: bytes, frame: int, offset: int, length: int) -> bytes:
 
 def write_files(bundled: DataFrame, folder: str) -> DataFrame:
     """Write each bundle as ``<bundle>.warc.zst`` to a folder that all executors
-    mount; gives (page_id, url, path, frame, offset, length).
+    reach: a path or a URL that Arrow's file systems know; gives (page_id, url, path, frame, offset, length).
 
     Names come from the content and a file appears by renaming, so a task that
     is run twice, or at once on two executors, leaves one whole file.
     """
-    import os
-
-    folder = frames.local_path(folder)
 
     def run(batches):
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root)
         for b in batches:
             paths = []
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                path = os.path.join(folder, f"{name}.warc.zst")
+                path = f"{root.rstrip('/')}/{name}.warc.zst"
                 part = f"{path}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
+                with store.open_output_stream(part) as f:
                     f.write(content.as_buffer())
-                os.replace(part, path)
+                store.move(part, path)
                 paths.append(path)
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), b.column(2)], ["path", "records"])
 

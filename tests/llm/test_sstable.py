@@ -23,6 +23,17 @@ def test_lookup_matches_a_dictionary(rows):
             assert shard.get(i) == []
 
 
+def test_rows_of_one_identifier_fill_several_shards(spark):
+    df = spark.createDataFrame([(7, f"text {i % 3}") for i in range(900)] + [(i, "x") for i in range(20)], "doc_id bigint, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    table = sstable.shards(df.repartition(4), shard_bytes=4000)
+    rows = table.collect()
+    assert len(rows) > 2 and sum(r.n_entries for r in rows) == 920
+    found = sstable.lookup(table, [7]).collect()
+    assert len(found) == 901 and sum(r.text == "text 1" for r in found) == 300
+    spread = sorted((r.first_id, r.last_id) for r in rows)
+    assert all(a[1] <= b[0] for a, b in zip(spread, spread[1:]))
+
+
 def test_filter_keeps_most_strangers_out():
     w = sstable.Writer()
     for i in range(0, 4000, 2):

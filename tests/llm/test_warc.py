@@ -33,8 +33,10 @@ def test_record_is_well_formed():
 
 def test_files_and_empty_table(spark, tmp_path):
     rows, df = pages(spark)
-    index = warc.write_files(warc.bundles(df, 2000, 20_000), str(tmp_path)).collect()
+    index = warc.write_files(warc.bundles(df, 2000, 20_000), f"file://{tmp_path}/new").collect()
     assert len(index) == len(rows)
+    again = warc.write_files(warc.bundles(df, 2000, 20_000), f"{tmp_path}/new").collect()
+    assert sorted(map(str, again)) == sorted(map(str, index))
     r = next(r for r in index if r.page_id == 42)
     with open(r.path, "rb") as f:
         assert prose(42, 72).encode() in warc.read_record(f.read(), r.frame, r.offset, r.length)
