@@ -4,24 +4,26 @@ A document's fingerprint has 128 bits: each different word of its folded text
 votes once on every bit.  Documents whose fingerprints differ in at most
 ``DISTANCE`` bits are near-duplicates; groups are connected components.
 
-The index has two storeys.
-
-* Upper nodes are groups of fingerprints that agree in a masked pattern of ``m``
-  bits, another mask in each of ``T`` tables; a pair is found if some table has it
-  under one upper node.  ``m`` follows the number of fingerprints, so that nodes
-  have about ``NODE`` of them, and ``T`` follows ``m``, so that a pair at the full
-  distance is found with probability ``1 - MISS`` at every size.  A node of more
-  than ``BIG`` (fingerprints crowd round some patterns) is split by further masks,
-  as many as keep that probability, before any task gets to see it.
-* In an upper node fingerprints are sorted by Gray rank, so that neighbours share
-  long patterns, and factored into a tree: an inner node keeps the mask of the bits
-  that all below it share, and their values.  All fingerprints of a node go down
-  the tree side by side, their differences from the shared bits accumulate, a group
-  is left out as soon as they exceed the distance, and linked whole if even all its
+The index has two storeys, and finds every pair.
+
+* Upper nodes are groups of fingerprints that agree in a masked pattern, another
+  mask in each table.  The 128 bits are cut into ``DISTANCE + 1`` parts and these
+  taken by ``PARTS`` as blocks: a pair within the distance differs in fewer bits of
+  some block than the block has parts, and so agrees in one of these.  Each part is
+  a mask.  Where nodes would have more than ``NODE`` fingerprints on average, what a
+  mask leaves of its block is cut into as many parts again, one of which must agree.
+  A node of more than ``BIG`` (fingerprints crowd round some patterns) is cut into
+  slices, every two of which meet in a node of their own.
+* In an upper node fingerprints are sorted by Gray rank from the block's first bit
+  on, so that neighbours share long patterns, and factored into a tree: an inner
+  node keeps the mask of the bits that all below it share, and their values.  All
+  fingerprints of a node go down the tree side by side, their differences from the
+  shared bits accumulate, a group is left out as soon as they exceed the distance or,
+  within the block, what the table has to find, and linked whole if even all its
   free bits can't make it exceed.  What comes out is a spanning forest, not pairs.
 
-Of random fingerprints only the lowest groups can be pruned (two share 64 of 128
-bits, eight share one), copies are pruned or linked by whole groups.
+Of random fingerprints groups are pruned by their block, copies are pruned or linked
+by whole groups.
 
 Only fingerprints are shuffled, and equal ones are collapsed first.
 """
@@ -41,19 +43,20 @@ from dagbag.llm import text as tx
 from dagbag.plans.components import star_forest
 
 DISTANCE = 20
-#: Probability that a pair at the full distance isn't found.
-MISS = 0.01
-#: Fingerprints that upper nodes are planned for, and above which one is split
-#: again; how often that is done at most (each time masks have more bits).
-NODE, BIG, SPLITS = 256, 4096, 4
+#: Parts of a block, at least.
+PARTS = 3
+#: Fingerprints that upper nodes are planned for, and above which one is sliced.
+NODE, BIG = 1 << 18, 1 << 19
 #: Children of inner nodes from the leaves up; the last number goes on.
 FANS = (2, 8)
-#: Upper nodes to split (16 bytes each) up to which their list is broadcast.
+#: Upper nodes to slice (16 bytes each) up to which their list is broadcast.
 BROADCAST_NODES = 200_000
 #: Rows to leave out (16 bytes each) up to which :func:`dedup` broadcasts them.
 BROADCAST_ROWS = 1_000_000
 #: Fingerprints that a worker joins at once, and (fingerprint, inner node) pairs.
 BATCH, FRONT = 1 << 15, 1 << 19
+#: Bits of an upper node's key below its table's number.
+TABLE = 48
 
 _LANES = np.zeros((2, 256), np.uint64)  # four 16-bit counters for half a byte's bits
 for _b in range(256):
@@ -130,11 +133,14 @@ class GrayForest:
     """Trees over the fingerprints of several upper nodes, in Gray order.
 
     ``key`` names the upper node of each; :meth:`join` links what is within the
-    limit inside a node.  ``seen`` and ``pruned`` count (fingerprint, group) pairs
-    that were looked at and that were left out or linked whole.
+    limit inside a node.  Pairs that differ in more than ``most`` of the bits
+    ``block`` of the first word may be left to other tables.  ``seen`` and ``pruned``
+    count (fingerprint, group) pairs that were looked at and that were left out or
+    linked whole.
     """
 
-    def __init__(self, key: np.ndarray, fp: np.ndarray):
+    def __init__(self, key: np.ndarray, fp: np.ndarray, block: int = 0, most: int = 0):
+        self.block, self.most = np.uint64(block), most
         rank = gray_rank(fp)
         self.order = np.lexsort((rank[:, 1], rank[:, 0], key))
         self.fp, key = fp[self.order], key[self.order]
@@ -144,6 +150,7 @@ class GrayForest:
         ones, zeros, ends = self.fp, ~self.fp, np.arange(1, len(fp) + 1)
         # from the leaves up: (shared mask, pattern, free bits, first child, end of children, last fingerprint)
         self.levels = []
+        self.lead, self.leads = self.fp[:, 0] & self.block, []  # the block's part of them
         while len(ones) > len(heads):
             fan = FANS[min(len(self.levels), len(FANS) - 1)]
             place = np.arange(len(ones)) - np.repeat(heads, np.diff(np.append(heads, len(ones))))
@@ -153,10 +160,11 @@ class GrayForest:
             ones, zeros = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at)
             mask = ones | zeros
             self.levels.append((mask, ones, 128 - np.bitwise_count(mask).sum(1).astype(np.int64), at, stop, ends))
+            self.leads.append((mask[:, 0] & self.block, ones[:, 0] & self.block))
             heads = np.searchsorted(at, heads)
 
     def join(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of a spanning forest of the pairs within ``limit``; exact."""
+        """Edges of a spanning forest of the pairs within ``limit``; exact but for the block's."""
         n = len(self.fp)
         label = np.arange(n)
         for i in range(0, n if self.levels else 0, FRONT // 8):
@@ -170,10 +178,15 @@ class GrayForest:
         mask, pattern, free, first, stop, end = self.levels[depth]
         after = end[group] > row + 1  # else the group has none behind the fingerprint
         row, group = row[after], group[after]
+        self.seen += len(row)
+        if self.block:
+            shared, lead = self.leads[depth]
+            here = np.bitwise_count((lead[group] ^ self.lead[row]) & shared[group]) <= self.most
+            self.pruned += len(row) - int(here.sum())
+            row, group = row[here], group[here]
         diff = np.bitwise_count((pattern[group] ^ self.fp[row]) & mask[group])
         diff = diff[:, 0].astype(np.int64) + diff[:, 1]
         whole = diff + free[group] <= limit
-        self.seen += len(row)
         if whole.any():
             # the fingerprints behind it in the group, all linked to this one
             r, g = row[whole], group[whole]
@@ -198,39 +211,66 @@ class GrayForest:
                 ok = below > r
                 r, below = r[ok], below[ok]
                 self.seen += len(r)
+                if self.block:
+                    ok = np.bitwise_count(self.lead[r] ^ self.lead[below]) <= self.most
+                    r, below = r[ok], below[ok]
                 near = distance(self.fp[r], self.fp[below]) <= limit
                 spanning(label, r[near], below[near])
 
 
-def plan_tables(n: int, limit: int = DISTANCE, miss: float = MISS, node: int = NODE, least: int = 8) -> tuple[int, int]:
-    """(m, T) for n different fingerprints: pairs at ``limit`` bits share a node but for ``miss``."""
-    m = min(48, max(least, math.ceil(math.log2(max(n, 1) / node))))
-    hit = math.comb(128 - limit, m) / math.comb(128, m)  # none of a table's m different bits is among those that differ
-    return m, max(1, math.ceil(math.log(miss) / math.log1p(-hit)) if hit < 1 else 1)
+def masks(m: int, limit: int = DISTANCE) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(bits, block, most) of each table, with ``m`` bits if its block has them.
+
+    Of any two fingerprints within ``limit`` some table's ``bits`` are equal and at
+    most ``most`` of its ``block`` differ.  Bits count from the first word's highest.
+    """
+    if limit >= 128:
+        return [(np.empty(0, np.int64), np.empty(0, np.int64), limit)]
+    parts = np.array_split(np.arange(128), limit + 1)
+    out = []
+    for some in np.array_split(np.arange(limit + 1), max(1, (limit + 1) // PARTS)):
+        block, most = np.concatenate([parts[i] for i in some]), len(some) - 1
+        found = [np.empty(0, np.int64)]
+        while True:
+            found = [np.concatenate([f, p]) for f in found for p in np.array_split(np.setdiff1d(block, f), most + 1)]
+            # the differing bits are among the others, so one of ``most + 1`` parts of these is equal
+            if min(map(len, found)) >= m or len(block) - max(map(len, found)) <= most:
+                break
+        out += [(f, block, most) for f in found]
+    return out
+
+
+def plan_tables(n: int, limit: int = DISTANCE, node: int = NODE) -> tuple[int, int]:
+    """(m, T) for n different fingerprints: bits of the masks (see :func:`masks`), and how many there are."""
+    m = max(math.ceil(math.log2(max(1, n / node))), min(len(bits) for bits, _, _ in masks(0, limit)))
+    return m, len(masks(m, limit))
 
 
-def table_keys(fp: np.ndarray, m: int, tables: int, seed: int = 128) -> np.ndarray:
-    """(tables, n) upper nodes: the table's number and its m bits."""
-    bits = np.unpackbits(fp.view(np.uint8), axis=1).astype(np.int64)
-    rng = np.random.default_rng(seed)
+def table_keys(fp: np.ndarray, m: int, tables: int, limit: int = DISTANCE) -> np.ndarray:
+    """(tables, n) upper nodes: the table's number and, in the lower ``TABLE`` bits, those of its mask."""
+    plan = masks(m, limit)
+    assert len(plan) == tables
     out = np.empty((tables, len(fp)), np.int64)
-    left = np.empty(0, np.int64)
-    for t in range(tables):
-        # masks go through all bits before one comes again
-        fresh = left[:m]
-        left = left[m:]
-        if len(fresh) < m:
-            more = rng.permutation(128)
-            more = more[~np.isin(more, fresh)]
-            left = more[m - len(fresh) :]
-            fresh = np.concatenate([fresh, more[: m - len(fresh)]])
-        key = np.full(len(fp), t, np.int64)
-        for c in fresh:
-            key = key << 1 | bits[:, c]
-        out[t] = key
+    for t, (bits, _, _) in enumerate(plan):
+        key = np.zeros(len(fp), np.uint64)
+        for i, c in enumerate(bits):
+            if i and i % TABLE == 0:
+                key = tx.splitmix(key)
+            key = key << np.uint64(1) | fp[:, c // 64] >> np.uint64(63 - c % 64) & np.uint64(1)
+        if len(bits) > TABLE:  # nodes of equal hash are one
+            key = tx.splitmix(key) >> np.uint64(64 - TABLE)
+        out[t] = key.view(np.int64) | t << TABLE
     return out
 
 
+def rotated(fp: np.ndarray, by: int) -> np.ndarray:
+    """The same bits, beginning with bit ``by``."""
+    if by % 64:
+        a, b = np.uint64(by % 64), np.uint64(64 - by % 64)
+        fp = np.stack([fp[:, 0] << a | fp[:, 1] >> b, fp[:, 1] << a | fp[:, 0] >> b], axis=1)
+    return np.ascontiguousarray(fp[:, ::-1]) if by % 128 >= 64 else fp
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, a, b) of rows that have words; th stands for the text."""
     text = frames.col(docs, text_col).cast("string")
@@ -248,7 +288,7 @@ def _prints(b: pa.RecordBatch, at: int = 0) -> np.ndarray:
     return np.stack([b.column(at + k).to_numpy().view(np.uint64) for k in range(2)], axis=1)
 
 
-def _keyed(kinds: DataFrame, m: int, tables: int) -> DataFrame:
+def _keyed(kinds: DataFrame, m: int, tables: int, limit: int) -> DataFrame:
     """(key, a, b): every fingerprint under its upper node of each table."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,41 +296,33 @@ def _keyed(kinds: DataFrame, m: int, tables: int) -> DataFrame:
             for i in range(0, batch.num_rows, 1 << 13):
                 fp = np.ascontiguousarray(_prints(batch.slice(i, 1 << 13)))
                 a, b = (np.tile(fp[:, k].view(np.int64), tables) for k in range(2))
-                yield pa.RecordBatch.from_arrays([pa.array(table_keys(fp, m, tables).ravel()), pa.array(a), pa.array(b)], ["key", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(table_keys(fp, m, tables, limit).ravel()), pa.array(a), pa.array(b)], ["key", "a", "b"])
 
     return kinds.mapInArrow(spread, "key bigint, a bigint, b bigint")
 
 
-def _split(rows: DataFrame, limit: int, depth: int, miss: float, node: int) -> DataFrame:
-    """(key, a, b) of ``rows`` (key, a, b, n) under nodes below those of n fingerprints."""
+def _sliced(rows: DataFrame, big: int) -> DataFrame:
+    """(key, a, b) of ``rows`` (key, a, b, n) under a node for every two slices of a node of n fingerprints."""
+    slices = F.ceil(2 * F.col("n") / big)
+    rows = rows.withColumns({"slices": slices, "own": F.pmod(F.xxhash64("a", "b"), slices)})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))).filter("own <> other")
+    below = F.shiftrightunsigned(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")), 64 - TABLE)
+    return rows.select(F.shiftleft(F.shiftright("key", TABLE), TABLE).bitwiseOR(below).alias("key"), "a", "b")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1 << 13):
-                part = batch.slice(i, 1 << 13)
-                fp, key = np.ascontiguousarray(_prints(part, 1)), part.column(0).to_numpy().view(np.uint64)
-                bits = np.ceil(np.log2(part.column(3).to_numpy() / node)).astype(np.int64)
-                for x in np.unique(bits):
-                    at = np.flatnonzero(bits == x)
-                    m, tables = plan_tables(node << max(0, int(x)), limit, miss, node, 1)
-                    below = table_keys(fp[at], m, tables, 128 + depth).view(np.uint64)
-                    new = tx.mix(tx.splitmix(key[at]) + tx.splitmix(below))
-                    a, b = (np.tile(fp[at, k].view(np.int64), tables) for k in range(2))
-                    yield pa.RecordBatch.from_arrays([pa.array(new.ravel().view(np.int64)), pa.array(a), pa.array(b)], ["key", "a", "b"])
 
-    return rows.mapInArrow(spread, "key bigint, a bigint, b bigint")
-
-
-def _joined(keyed: DataFrame, limit: int) -> DataFrame:
+def _joined(keyed: DataFrame, m: int, limit: int) -> DataFrame:
     """(a1, b1, a2, b2): links inside upper nodes."""
+    plan = [(int(block[0]) if len(block) else 0, (1 << 64) - (1 << 64 - min(64, len(block))), most) for _, block, most in masks(m, limit)]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
         rows = 0
 
-        def linked(x: np.ndarray) -> pa.RecordBatch:
-            i, j = GrayForest(x[:, 0], np.ascontiguousarray(x[:, 1:]).view(np.uint64)).join(limit)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[i, 1], x[i, 2], x[j, 1], x[j, 2])], ["a1", "b1", "a2", "b2"])
+        def linked(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for x in np.split(x, np.flatnonzero(np.diff(x[:, 0] >> TABLE)) + 1):
+                start, block, most = plan[int(x[0, 0] >> TABLE)]
+                i, j = GrayForest(x[:, 0], rotated(np.ascontiguousarray(x[:, 1:]).view(np.uint64), start), block, most).join(limit)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[i, 1], x[i, 2], x[j, 1], x[j, 2])], ["a1", "b1", "a2", "b2"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -298,31 +330,30 @@ def _joined(keyed: DataFrame, limit: int) -> DataFrame:
             x = np.stack([c.to_numpy() for c in batch.columns], axis=1)
             whole = np.searchsorted(x[:, 0], x[-1, 0])  # the last node may go on
             if rest and rows + whole >= BATCH and (whole or rest[-1][-1, 0] != x[0, 0]):
-                yield linked(np.concatenate([*rest, x[:whole]]))
+                yield from linked(np.concatenate([*rest, x[:whole]]))
                 rest, rows, x = [], 0, x[whole:]
             rest.append(x)
             rows += len(x)
         if rest:
-            yield linked(np.concatenate(rest))
+            yield from linked(np.concatenate(rest))
 
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a1 bigint, b1 bigint, a2 bigint, b2 bigint")
 
 
-def links(kinds: DataFrame, n: int, limit: int = DISTANCE, miss: float = MISS, node: int = NODE, big: int = BIG, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """(u, v): linked fingerprints, as structs, among the n ``kinds`` (a, b)."""
-    keyed = _keyed(kinds, *plan_tables(n, limit, miss, node))
-    found = None
-    for depth in range(1, SPLITS + 1):
+def links(kinds: DataFrame, n: int, limit: int = DISTANCE, node: int = NODE, big: int = BIG, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """(u, v): linked fingerprints, as structs, among the n ``kinds`` (a, b).
+
+    They connect all that pairs within ``limit`` connect.
+    """
+    m, tables = plan_tables(n, limit, node)
+    keyed = _keyed(kinds, m, tables, limit)
+    if n > big:
         hot = frames.cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > big))
         many = hot.count()
-        if not many:
-            break
-        hot = F.broadcast(hot) if many <= broadcast_nodes else hot
-        here = _joined(keyed.join(hot, "key", "left_anti"), limit)
-        found = here if found is None else found.unionAll(here)
-        keyed = frames.cut(_split(keyed.join(hot, "key").select("key", "a", "b", "n"), limit, depth, miss, node))
-    here = _joined(keyed, limit)
-    found = (here if found is None else found.unionAll(here)).distinct()
+        if many:
+            hot = F.broadcast(hot) if many <= broadcast_nodes else hot
+            keyed = keyed.join(hot, "key", "left_anti").unionAll(_sliced(keyed.join(hot, "key").select("key", "a", "b", "n"), big))
+    found = _joined(keyed, m, limit).distinct()
     return found.select(F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")).alias("u"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")).alias("v"))
 
 

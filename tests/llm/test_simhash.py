@@ -158,6 +158,40 @@ def test_pairs_at_the_full_distance_share_a_table():
     assert simhash.plan_tables(1000, 0)[1] == 1
 
 
+def at_distance(bits, n, seed):
+    """n random fingerprints, and others that differ from them in so many bits."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 2**64, (n, 2), dtype=np.uint64)
+    return a, a ^ np.packbits(np.argsort(rng.random((n, 128)), axis=1) < bits, axis=1).view(np.uint64)
+
+
+def test_some_table_has_every_pair_within_its_block():
+    for limit in (0, 1, 3, 18, 20, 50, 127, 128):
+        a, b = at_distance(limit, 20_000, limit)
+        for n in (10, 10**8, 10**9):
+            m, t = simhash.plan_tables(n, limit)
+            found = np.zeros(len(a), bool)
+            for x, y, (_, block, most) in zip(simhash.table_keys(a, m, t, limit), simhash.table_keys(b, m, t, limit), simhash.masks(m, limit)):
+                if len(block):
+                    lead = (1 << 64) - (1 << 64 - min(64, len(block)))
+                    u, v = (simhash.rotated(z, int(block[0])) for z in (a, b))
+                    found |= (x == y) & (np.bitwise_count((u ^ v)[:, 0] & np.uint64(lead)) <= most)
+                else:
+                    found |= x == y
+            assert found.all()
+
+
+def test_no_pair_at_the_full_distance_is_lost(spark):
+    a, b = at_distance(simhash.DISTANCE, 3000, 5)
+    c, d = at_distance(simhash.DISTANCE + 1, 300, 6)
+    fp = np.concatenate([a, b, c, d]).view(np.int64)
+    kinds = spark.createDataFrame([tuple(map(int, x)) for x in fp], "a bigint, b bigint")
+    at = {tuple(map(int, x)): i for i, x in enumerate(fp)}
+    for sizes in ({}, {"node": 20}, {"big": 60}):  # planned nodes, smaller ones, nodes cut into slices
+        found = {tuple(sorted((at[r.u.a, r.u.b], at[r.v.a, r.v.b]))) for r in simhash.links(kinds, len(fp), **sizes).collect()}
+        assert found == {(i, i + 3000) for i in range(3000)}
+
+
 def test_odd_rows(odd_docs, no_docs):
     out = {(r.doc_id, r.keep_id, r.group_size) for r in simhash.groups(odd_docs).collect()}
     assert out == {(1, 1, 2), (6, 1, 2), (7, 7, 2)}
