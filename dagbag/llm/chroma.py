@@ -5,13 +5,13 @@ Frames are smoothed over time and normalised; sixteen filters, differences of
 rectangles of the time-pitch image that an integral image sums in constant time,
 are quantised to two bits each: one packed 32-bit integer for every frame.
 
-Recordings that share integers are candidates.  Postings are a content-defined
-sample (the smallest hash of every ``WINDOW`` in a row and the ``LEAST`` smallest
-of a recording), so that recordings share one wherever ``WINDOW + AHEAD`` integers
-in a row are equal; under every posting all recordings are compared with the
-earliest one that has it, so that a hit with thousands of copies gives a star and
-not all pairs.  For a pair the histogram of offsets gives the alignments, and bit errors
-along each the frames that match.
+Recordings that share integers are candidates.  Postings are all integers of a
+recording, and under every posting all recordings are compared with each other, each
+pair at the offset where they share it; only of recordings with equal fingerprints one
+stands for all.  Postings that the same recordings share at the same offsets are one
+list.  Most pairs of a list are left out by a bound on how many frames can match
+(:func:`near`).  For a pair the histogram of offsets gives the alignments, and bit
+errors along each the frames that match.
 
 :func:`from_pcm` makes frames of sampled audio, :func:`from_words` of a text
 that is played as a melody, a note a word.
@@ -23,13 +23,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dagbag.llm import frames as fr
 from dagbag.llm import text as tx
 
-WINDOW, LEAST = 12, 8
 #: Integers of a posting: one and the one so many frames later.
 AHEAD = 3
 #: Mean bits (of 32) that may differ over ``BLUR`` frames of a match.
@@ -39,9 +38,11 @@ MIN_FRAMES, MIN_SHARE = 24, 0.5
 #: Bytes of media that are worked on at once, so that all arrays stay in cache.
 PIECE = 256 << 10
 BROADCAST_IDS = 2_000_000
-#: Recordings with one posting above which it is kept out of the windows by posting,
-#: and the share of recordings that is looked at to find such postings.
+#: Recordings with one posting above which they are compared in slices, and the share
+#: of recordings that is looked at to find such postings.
 HOT, LOOK = 10_000, 1 / 64
+#: Integers of a list that are laid side by side if they are no more, and that are compared at once.
+LAID, CELLS = 1 << 24, 1 << 18
 
 #: (kind, first pitch class, pitch classes, frames)
 FILTERS = [
@@ -164,22 +165,12 @@ def _identity(fp: np.ndarray) -> int:
     return int(tx.range_hash(tx.prefix_hash(fp), np.array([0]), np.array([len(fp)])).view(np.int64)[0])
 
 
-def postings(fp: np.ndarray, window: int = WINDOW, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(value, first frame) of the sampled postings of a recording."""
+def postings(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, first frame) of the postings of a recording."""
     if len(fp) <= AHEAD:
         return np.empty(0, np.int64), np.empty(0, np.int32)
-    v = tx.mix(fp[:-AHEAD].astype(np.uint64) << np.uint64(32) | fp[AHEAD:])
-    kinds, at, which = np.unique(v, return_index=True, return_inverse=True)
-    if len(kinds) <= least:
-        use = np.ones(len(kinds), bool)
-    else:
-        # the order of another hash, so that it isn't the order of the values
-        rank = tx.splitmix(kinds)
-        use = rank <= np.partition(rank, least - 1)[least - 1]
-        if len(v) >= window:
-            runs = np.lib.stride_tricks.sliding_window_view(rank[which], window)
-            use[which[np.arange(len(runs)) + runs.argmin(axis=1)]] = True
-    return kinds[use].view(np.int64), at[use].astype(np.int32)
+    kinds, at = np.unique(tx.mix(fp[:-AHEAD].astype(np.uint64) << np.uint64(32) | fp[AHEAD:]), return_index=True)
+    return kinds.view(np.int64), at.astype(np.int32)
 
 
 def _along(a: np.ndarray, b: np.ndarray, offset: int, limit: float, blur: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -220,18 +211,64 @@ def alignments(a: np.ndarray, b: np.ndarray, offsets: np.ndarray, places: np.nda
     return out
 
 
+def _floor(least: np.ndarray) -> np.ndarray:
+    """Frames with at most twice the limit of bit errors if ``least`` match.
+
+    More than half of the frames round a matching one are such, or its mean were
+    over the limit: 5 of 9, two, one and one less for the three first and last of an
+    overlap; and each is round ``BLUR`` frames at most.
+    """
+    half = BLUR // 2
+    lost = 2 * sum(half + 1 - ((half + 1 + k) // 2 + 1) for k in range(half))
+    return np.maximum(1, np.ceil((np.ceil(least) * (half + 1) - lost) / (2 * half + 1)))
+
+
+def near(fps: list[np.ndarray], at: np.ndarray, limit: float, min_frames: int, min_share: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, those after it that may match it) when frame ``at[i]`` of each plays with that of the others.
+
+    None that has enough matching frames is left out.
+    """
+    size = np.array([len(f) for f in fps])
+    start = at.max() - at
+    laid = None
+    if len(fps) > 2 and len(fps) * int((start + size).max()) <= LAID:
+        laid = np.zeros((len(fps), int((start + size).max())), np.uint32)
+        for row, s, f in zip(laid, start, fps):
+            row[s : s + len(f)] = f
+    for i in range(len(fps) - 1):
+        x = fps[i]
+        rows = max(1, CELLS // len(x))
+        for j0 in range(i + 1, len(fps), rows):
+            js = np.arange(j0, min(len(fps), j0 + rows))
+            # all of x's frames, and what plays with them
+            if laid is not None:
+                y = laid[j0 : j0 + rows, start[i] : start[i] + size[i]]
+            elif len(js) > 1:
+                y = np.tile(~x, (len(js), 1))
+                for row, j in zip(y, js):
+                    lo, hi = max(0, start[j] - start[i]), min(len(x), start[j] - start[i] + size[j])
+                    row[lo:hi] = fps[j][lo + start[i] - start[j] : hi + start[i] - start[j]]
+            else:
+                yield i, js
+                continue
+            good = (np.bitwise_count(y ^ x) <= 2 * limit).sum(axis=1)
+            may = good >= _floor(np.minimum(min_frames, min_share * np.minimum(size[i], size[js])))
+            if may.any():
+                yield i, js[may]
+
+
 OUT = "doc_id bigint, match_id bigint, offset int, frames int, bit_error double"
 
 
-def matches(media: DataFrame, id_col: str = "doc_id", media_col: str = "text", reader: Callable = from_words, window: int = WINDOW, least: int = LEAST, limit: float = BIT_ERROR, min_frames: int = MIN_FRAMES, min_share: float = MIN_SHARE, broadcast_ids: int = BROADCAST_IDS, hot: int = HOT, look: float = LOOK) -> DataFrame:
+def matches(media: DataFrame, id_col: str = "doc_id", media_col: str = "text", reader: Callable = from_words, limit: float = BIT_ERROR, min_frames: int = MIN_FRAMES, min_share: float = MIN_SHARE, broadcast_ids: int = BROADCAST_IDS, hot: int = HOT, look: float = LOOK) -> DataFrame:
     """(doc_id, match_id, offset, frames, bit_error) of recordings that align.
 
     Frame ``i`` of ``doc_id`` plays with frame ``i + offset`` of ``match_id``;
     ``frames`` of them match, with ``bit_error`` differing bits on average.  A
-    recording is linked to the earliest one (by id) for each part that an earlier
-    one holds, with a row for each offset at which parts of the two match; alignments of two recordings that are linked to the same one follow
-    by subtracting offsets.  Recordings with equal fingerprints are all linked to
-    the first of them.
+    recording is linked to every earlier one (by id) with which it shares a posting and
+    matches where that plays, with a row for each offset at which parts of the two
+    match.  Recordings with equal fingerprints are all linked to the first of them,
+    and only that one to others.
 
     Null, empty and short media (up to ``SPAN + AHEAD`` frames) match nothing; long
     media are heard whole; a null id comes first, of equal ids the least content hash;
@@ -246,58 +283,91 @@ def matches(media: DataFrame, id_col: str = "doc_id", media_col: str = "text", r
     def sketch(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = fingerprints(*reader(b.column(2)))
         use = [i for i, f in enumerate(fps) if len(f) > AHEAD]
-        posts = [postings(fps[i], window, least) for i in use]
         own = pa.array(use, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [b.column(0).take(own), b.column(1).take(own), pa.array([_identity(fps[i]) for i in use], pa.int64()), pa.array([len(fps[i]) for i in use], pa.int32()), pa.array([v for v, _ in posts], pa.list_(pa.int64())), pa.array([p for _, p in posts], pa.list_(pa.int32()))],
-            ["doc_id", "th", "fh", "n", "values", "places"],
+            [b.column(0).take(own), b.column(1).take(own), pa.array([_identity(fps[i]) for i in use], pa.int64()), pa.array([len(fps[i]) for i in use], pa.int32()), pa.array([fps[i].tobytes() for i in use], pa.binary())],
+            ["doc_id", "th", "fh", "n", "fp"],
         )
 
-    heard = fr.with_text(rows, sketch, "doc_id bigint, th bigint, fh bigint, n int, values array<bigint>, places array<int>", "text", PIECE)
+    heard = fr.with_text(rows, sketch, "doc_id bigint, th bigint, fh bigint, n int, fp binary", "text", PIECE)
     heard = fr.cut(heard.withColumn("no", F.monotonically_increasing_id()))
     reps = fr.cut(heard.groupBy("fh").agg(F.min(F.struct("doc_id", "th", "no", "n")).alias("r"), F.count(F.lit(1)).alias("copies")))
     # all copies but the first match it, and their postings aren't needed
     copies = heard.select("doc_id", "fh", "no", "n").join(reps.filter("copies > 1").select("fh", "r"), "fh").filter("no <> r.no")
     exact = copies.select("doc_id", F.col("r.doc_id").alias("match_id"), F.lit(0).alias("offset"), F.col("n").alias("frames"), F.lit(0.0).alias("bit_error"))
     gone = fr.cut(copies.select("no"))
-    posts = heard.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, "no", "left_anti")
-    posts = posts.select("fh", "doc_id", F.explode(F.arrays_zip("values", "places")).alias("p")).select(F.col("p.values").alias("v"), "doc_id", "fh", F.col("p.places").alias("at"))
-    firsts = F.min(F.struct("doc_id", "fh", "at"))
-    # a posting of very many is found in a share of the recordings; what it is compared with is the same either way
-    crowd = fr.cut(posts.filter(F.pmod(F.xxhash64("fh"), F.lit(round(1 / look))) == 0).groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot * look).select("v"))
+    firsts = heard.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, "no", "left_anti").select("no", "doc_id", "th", "fp")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                b = batch.slice(i, 256)
+                posts = [postings(np.frombuffer(f, np.uint32)) for f in b.column(1).to_pylist()]
+                no = np.repeat(b.column(0).to_numpy(), [len(v) for v, _ in posts])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate([v for v, _ in posts]), no, np.concatenate([p for _, p in posts]))], ["v", "no", "at"])
+
+    posts = firsts.select("no", "fp").mapInArrow(spread, "v bigint, no bigint, at int")
+    # a posting of very many is found in a share of the recordings; every two of its slices meet in a list
+    some = firsts.filter(F.pmod(F.xxhash64("no"), F.lit(round(1 / look))) == 0).select("no", "fp").mapInArrow(spread, "v bigint, no bigint, at int")
+    crowd = fr.cut(some.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot * look).select("v", F.ceil(2 * F.col("n") / (hot * look)).alias("slices")))
     n = crowd.count()
     if n:
         crowd = F.broadcast(crowd) if n <= broadcast_ids else crowd
-        many = posts.join(crowd, "v", "left_semi")
-        many = many.join(many.groupBy("v").agg(firsts.alias("first")), "v")
-        posts = posts.join(crowd, "v", "left_anti")
-    votes = posts.withColumn("first", firsts.over(Window.partitionBy("v")))
-    votes = (votes.unionByName(many) if n else votes).filter("fh <> first.fh")
-    # a vote is the offset and, in the lower 32 bits, the place
-    vote = F.shiftleft((F.col("first.at") - F.col("at")).cast("bigint"), 32) + F.col("at")
-    votes = votes.groupBy("fh", F.col("first.fh").alias("other")).agg(F.collect_set(vote).alias("votes"))
-    who = reps.select("fh", F.struct("r.doc_id", "r.th").alias("r"))
-    pairs = fr.cut(votes.join(who, "fh").join(who.select(F.col("fh").alias("other"), F.col("r").alias("m")), "other"))  # one vote will do, as alignments are verified
-
-    wanted = pairs.select(F.explode(F.array("r", "m")).alias("r")).select("r.doc_id", "r.th").distinct()
-    if wanted.count() <= broadcast_ids:
-        wanted = F.broadcast(wanted)
-    some = rows.alias("a").join(wanted.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.th = b.th"), "left_semi")
-
-    def again(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f.tobytes() for f in fingerprints(*reader(b.column(2)))], pa.binary())], ["doc_id", "th", "fp"])
-
-    fps = fr.with_text(some, again, "doc_id bigint, th bigint, fp binary", "text", PIECE).groupBy(F.struct("doc_id", "th").alias("r")).agg(F.first("fp").alias("fp"))
-    both = pairs.select("r", "m", "votes").join(fps.withColumnRenamed("fp", "x"), "r").join(fps.select(F.col("r").alias("m"), F.col("fp").alias("y")), "m")
+        many = posts.join(crowd, "v").withColumn("own", F.pmod(F.xxhash64("no"), "slices"))
+        many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))).filter("own <> other")
+        many = many.select(F.xxhash64("v", F.least("own", "other"), F.greatest("own", "other")).alias("v"), "no", "at")
+        posts = posts.join(crowd.select("v"), "v", "left_anti").unionByName(many)
+    lists = posts.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("no", "at"))).alias("m")).filter(F.size("m") > 1)
+    # passages give many postings that the same recordings share at the same offsets
+    lists = lists.select(F.expr("transform(m, x -> struct(x.no as no, x.at - m[0].at as at))").alias("m")).distinct()
+    lists = fr.cut(lists.withColumn("list", F.monotonically_increasing_id()))
+    members = lists.select("list", F.explode("m").alias("p")).select("list", "p.no", "p.at").join(firsts, "no")
+    members = members.select("list", "doc_id", "th", "no", "at", "fp").repartition("list").sortWithinPartitions("list", "doc_id", "th", "no")
+
+    def least(x: np.ndarray, y: np.ndarray) -> float:
+        return min(min_frames, min_share * min(len(x), len(y)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            fps, at = [np.frombuffer(m[3], np.uint32) for m in held], np.array([m[2] for m in held])
+            out = []
+            for i, js in near(fps, at, limit, min_frames, min_share):
+                for j in js.tolist():
+                    x, y, offset = fps[j], fps[i], int(at[i] - at[j])
+                    frames, err = align(x, y, offset, limit)
+                    if frames and frames >= least(x, y) and held[i][1] != held[j][1]:
+                        out.append((held[j][0], held[j][1], held[i][0], held[i][1], offset, frames, err))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(),) * 4 + (pa.int32(),) * 2 + (pa.float64(),))], ["doc_id", "no", "match_id", "other", "offset", "frames", "bit_error"])
+
+        last = None
+        for b in batches:
+            for m in zip(b.column(0).to_pylist(), *(b.column(k).to_pylist() for k in (1, 3, 4, 5))):
+                if m[0] != last and held:
+                    yield from found()
+                    held.clear()
+                last = m[0]
+                held.append(m[1:])
+        if held:
+            yield from found()
+
+    hits = members.mapInArrow(compare, "doc_id bigint, no bigint, match_id bigint, other bigint, offset int, frames int, bit_error double").distinct()
+    pairs = fr.cut(hits.groupBy("no", "other").agg(F.first("doc_id").alias("doc_id"), F.first("match_id").alias("match_id"), F.collect_list(F.struct("offset", "frames", "bit_error")).alias("o")))
+    once = pairs.filter(F.size("o") == 1).selectExpr("doc_id", "match_id", "o[0].offset as offset", "o[0].frames as frames", "o[0].bit_error as bit_error")
+    # several offsets may play the same
+    both = pairs.filter(F.size("o") > 1).select("no", "other", "doc_id", "match_id").join(firsts.select("no", F.col("fp").alias("x")), "no").join(firsts.select(F.col("no").alias("other"), F.col("fp").alias("y")), "other")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, match, votes, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                x, y, votes = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), votes.values.to_numpy()
-                found = alignments(x, y, votes >> 32, votes & 0xFFFFFFFF, min(min_frames, min_share * min(len(x), len(y))), limit)
+            for doc, match, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                (u, i), (v, j) = postings(x), postings(y)
+                _, p, q = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+                found = alignments(x, y, j[q].astype(np.int64) - i[p], i[p], least(x, y), limit)
                 out += [(doc, match, *f) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["doc_id", "match_id", "offset", "frames", "bit_error"])
 
-    near = both.select(F.col("r.doc_id").alias("doc_id"), F.col("m.doc_id").alias("match_id"), "votes", "x", "y").mapInArrow(check, OUT)
-    return near.unionByName(exact)
+    several = both.select("doc_id", "match_id", "x", "y").mapInArrow(check, OUT)
+    return once.unionByName(several).unionByName(exact)

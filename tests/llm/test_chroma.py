@@ -99,6 +99,45 @@ def test_every_run_of_a_match_has_a_shared_posting():
         assert a & b
 
 
+def test_all_pairs_that_match_where_they_share_a_posting(spark):
+    r = random.Random(8)
+    # every recording has the words of the first one; others share more with each other
+    short, parts = prose(40, 15), [prose(41 + k, 60).split(" ") for k in range(4)]
+    rows = [(0, prose(60, 40) + " " + short)]
+    for i in range(1, 17):
+        part = [w + "q" if r.random() < 0.04 else w for w in parts[i % 4]]
+        rows.append((i, " ".join([prose(70 + i, 5 * (i % 7) + 1), short, *part, prose(90 + i, 30)])))
+    fps = chroma.fingerprints(*chroma.from_words(pa.array([t for _, t in rows])))
+    want = set()
+    for a in range(len(rows)):
+        for b in range(a):
+            (u, i), (v, j) = (chroma.postings(fps[k]) for k in (a, b))
+            _, p, q = np.intersect1d(u, v, return_indices=True)
+            want |= {(a, b, o) for o in set((j[q] - i[p]).tolist()) if chroma.align(fps[a], fps[b], o)[0] >= chroma.MIN_FRAMES}
+    assert {(a, b) for a, b, _ in want} >= {(a, b) for a in range(1, 17) for b in range(1, a) if a % 4 == b % 4}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for more in ({}, {"hot": 2, "look": 1}):
+        assert {tuple(x)[:3] for x in chroma.matches(df, **more).collect()} == want
+
+
+def test_no_pair_with_enough_frames_is_left_out_before_it_is_aligned(monkeypatch):
+    rng = np.random.default_rng(9)
+    for seed in range(60):
+        n = int(rng.integers(2, 90))
+        base = rng.integers(0, 2**32, 120, dtype=np.uint32)
+        fps, at = [], rng.integers(0, 20, 12)
+        for k in range(12):
+            noise = np.packbits(rng.random((140, 32)) < rng.choice([0.03, 0.1, 0.13, 0.2]), axis=1).view(np.uint32)[:, 0]
+            fps.append((np.concatenate([rng.integers(0, 2**32, 20, dtype=np.uint32)[: at[k]], base]) ^ noise[: at[k] + 120])[: at[k] + n])
+        for laid in (0, 1 << 24):
+            monkeypatch.setattr(chroma, "LAID", laid)
+            got = {(i, j) for i, js in chroma.near(fps, at, 4.0, 24, 0.5) for j in js.tolist()}
+            for i in range(12):
+                for j in range(i + 1, 12):
+                    enough = chroma.align(fps[i], fps[j], int(at[j] - at[i]))[0] >= min(24, 0.5 * min(len(fps[i]), len(fps[j])))
+                    assert (i, j) in got or not enough
+
+
 def test_passages_inside_long_texts(spark):
     rows = []
     for g in range(24):
