@@ -19,15 +19,22 @@ that is played as a melody, a note a word.
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagbag.llm import frames as fr
 from dagbag.llm import text as tx
+from dagbag.plans.components import star_forest
 
 #: Integers of a posting: one and the one so many frames later.
 AHEAD = 3
@@ -371,3 +378,388 @@ def matches(media: DataFrame, id_col: str = "doc_id", media_col: str = "text", r
 
     several = both.select("doc_id", "match_id", "x", "y").mapInArrow(check, OUT)
     return once.unionByName(several).unionByName(exact)
+
+
+#: Postings of a bucket and frames of a chunk; bits of a posting that are kept beyond those that number all.
+BUCKET, CHUNK, SPARE = 1 << 20, 1 << 20, 6
+#: Recordings of a crowded list that meet as many others at once; lists up to ``FEW`` aren't bounded first.
+SLICE, FEW = 1024, 64
+#: Bits of a frame beyond the limit within which it counts for the bound, and frames of a block.
+SLACK, BLOCK = 6, 200
+#: Frames of pairs that are aligned at once, and bytes of fingerprints that a task keeps.
+ALIGNED, KEPT = 1 << 18, 64 << 20
+#: Pairs that a task of the comparison has on average at most, and that one collects before they are aligned.
+TASK, PAIRS = 5_000_000, 300_000
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte from the lowest, in as many bytes as the largest takes."""
+    k = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return _ZSTD.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T), asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int, k: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :k] = np.frombuffer(_ZSTD.decompress(raw, n * k), np.uint8).reshape(k, n).T
+    return out.view("<i8")[:, 0]
+
+
+def chunk_postings(fps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, recording, first frame) of all postings of some recordings, by value."""
+    size = np.array([len(f) for f in fps], np.int64)
+    flat, end = np.concatenate([np.empty(0, np.uint32), *fps]), np.cumsum(size)
+    owner = np.repeat(np.arange(len(fps)), size)
+    at = np.flatnonzero(np.arange(len(flat)) + AHEAD < end[owner])
+    v = tx.mix(flat[at].astype(np.uint64) << np.uint64(32) | flat[at + AHEAD])
+    order = np.argsort(v, kind="stable")
+    v, at = v[order], at[order]
+    own = owner[at]
+    first = np.append(True, (v[1:] != v[:-1]) | (own[1:] != own[:-1]))[: len(v)]
+    v, at, own = v[first], at[first], own[first]
+    return v, own, at - (end - size)[own]
+
+
+def shared(v: np.ndarray, no: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, recording, frame) of the postings that several recordings have.
+
+    Lists of the same recordings at the same offsets are one.
+    """
+    order = np.argsort(v, kind="stable")
+    v, no, at = v[order], no[order], at[order]
+    same = v[1:] == v[:-1]
+    use = (np.append(False, same) | np.append(same, False))[: len(v)]
+    v, no, at = v[use], no[use], at[use]
+    if not len(v):
+        return v.astype(np.int64), no, at
+    order = np.lexsort((at, no, v))
+    v, no, at = v[order], no[order], at[order]
+    heads = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    size = np.diff(np.append(heads, len(v)))
+    at = at - np.repeat(at[heads], size)
+    kind = np.add.reduceat(tx.splitmix(tx.splitmix(no.view(np.uint64)) + at.view(np.uint64)), heads)
+    keep = np.zeros(len(heads), bool)
+    keep[np.unique(kind, return_index=True)[1]] = True
+    use = np.repeat(keep, size)
+    return np.repeat(np.arange(int(keep.sum())), size[keep]), no[use], at[use]
+
+
+def bound(fps: list[np.ndarray], at: np.ndarray, side: np.ndarray, limit: float = BIT_ERROR) -> np.ndarray:
+    """For each two recordings of different sides (any two if there is one) what their frames
+    have less than ``limit + SLACK`` bit errors, in all; a triangle of it is filled.
+
+    Frame ``at[i]`` of each plays with that of the others.
+    """
+    top, n, one = np.uint8(_top(limit)), len(fps), not side.any()
+    out = np.zeros((n, n), np.int32)
+    for back in (True, False):
+        # before the common frame, and from it on: all that one of fewer frames has there plays with the others
+        half = [f[:a][::-1] if back else f[a:] for f, a in zip(fps, at.tolist())]
+        size = np.array([len(h) for h in half])
+        order = np.argsort(size, kind="stable")
+        for c in range(0, int(size[order[-2]]), BLOCK):
+            use = order[np.searchsorted(size[order], c, "right") :]
+            laid = np.zeros((BLOCK, len(use)), np.uint32)
+            for row, k in enumerate(use.tolist()):
+                h = half[k][c : c + BLOCK]
+                laid[: len(h), row] = h
+            width = np.minimum(size[use] - c, BLOCK).tolist()
+            places = [np.arange(len(use))] if one else [np.flatnonzero(side[use] != s) for s in (0, 1)]
+            parts = [laid] if one else [np.ascontiguousarray(laid[:, p]) for p in places]
+            after = [np.searchsorted(p, np.arange(len(use)), "right").tolist() for p in places]
+            for i, (k, w) in enumerate(zip(use.tolist(), width)):
+                s = int(side[k])
+                others = use[places[s][after[s][i] :]]
+                if not len(others):
+                    continue
+                err = np.bitwise_count(parts[s][:w, after[s][i] :] ^ laid[:w, i : i + 1])
+                np.minimum(err, top, out=err)
+                lost = np.full(len(others), int(top) * w, np.int32)
+                for r in range(0, w, 25):  # what a byte can hold
+                    lost -= np.add.reduce(err[r : r + 25], axis=0, dtype=np.uint8)
+                out[k, others] += lost
+    return np.triu(out + out.T, 1)
+
+
+def _top(limit: float) -> int:
+    return min(10, int(limit + SLACK))
+
+
+def needed(least: np.ndarray, limit: float = BIT_ERROR) -> np.ndarray:
+    """What :func:`bound` gives at least for two recordings of which ``least`` frames match.
+
+    ``m`` frames round a matching one have ``m * (top - limit)`` together; each is round
+    ``BLUR`` at most, and a frame k from an end of the overlap lacks ``BLUR // 2 - k`` there.
+    """
+    half, slack = BLUR // 2, max(0.0, _top(limit) - limit)
+    return slack * np.maximum(1 / BLUR, np.ceil(least) - half * (half + 1) / BLUR) - 1e-6
+
+
+def aligned(fps: list[np.ndarray], x: np.ndarray, y: np.ndarray, offset: np.ndarray, limit: float = BIT_ERROR) -> tuple[np.ndarray, np.ndarray]:
+    """(frames that match, whether a posting is shared) of recordings x and y of ``fps``, as :func:`align` has it."""
+    n = np.array([len(f) for f in fps], np.int64)
+    low = np.maximum(0, -offset)
+    size = np.maximum(0, np.minimum(n[x], n[y] - offset) - low)
+    frames, shares = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    use = np.flatnonzero(size)
+    half = BLUR // 2
+    for k in np.split(use, np.flatnonzero(np.diff(np.cumsum(size[use]) // ALIGNED)) + 1) if len(use) else []:
+        last = np.cumsum(size[k])
+        first = last - size[k]
+        a = [fps[i][s : s + m] for i, s, m in zip(x[k].tolist(), low[k].tolist(), size[k].tolist())]
+        b = [fps[i][s : s + m] for i, s, m in zip(y[k].tolist(), (low[k] + offset[k]).tolist(), size[k].tolist())]
+        err = np.bitwise_count(np.concatenate(a) ^ np.concatenate(b))
+        c = np.zeros(len(err) + 1, np.int32)
+        np.cumsum(err, out=c[1:])
+        good = np.zeros(len(err), bool)
+        if len(err) >= 2 * half + 1:
+            good[half : len(err) - half] = c[2 * half + 1 :] - c[: -2 * half - 1] <= limit * (2 * half + 1)
+        equal = err == 0
+        equal[:-AHEAD] &= equal[AHEAD:]
+        for d in range(max(half, AHEAD)):
+            some = size[k] > d
+            s, e = first[some], last[some]
+            if d < half:
+                to = np.minimum(e, s + d + half + 1)
+                good[s + d] = c[to] - c[s] <= limit * (to - s)
+                of = np.maximum(s, e - 1 - d - half)
+                good[e - 1 - d] = c[e] - c[of] <= limit * (e - of)
+            if d < AHEAD:
+                equal[e - 1 - d] = False
+        frames[k] = np.add.reduceat(good, first, dtype=np.int32)
+        shares[k] = np.logical_or.reduceat(equal, first)
+    return frames, shares
+
+
+def _kept(fold: str, name: str, fps: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, str, int, int]]:
+    """(key, file, first byte, frames) of fingerprints, written one after the other to a file of the shared folder."""
+    system, path = pafs.FileSystem.from_uri(fold)
+    at = 0
+    with system.open_output_stream(f"{path}/{name}") as f:
+        for key, fp in fps:
+            f.write(fp.tobytes())
+            yield key, name, at, len(fp)
+            at += 4 * len(fp)
+
+
+class Shelf:
+    """Fingerprints of the shared folder, the last ones read at hand."""
+
+    def __init__(self, fold: str, kept: int = KEPT):
+        self.system, self.path = pafs.FileSystem.from_uri(fold)
+        self.files: OrderedDict[str, pa.NativeFile] = OrderedDict()
+        self.have: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.size, self.kept = 0, kept
+
+    def get(self, key: int, name: str, at: int, n: int) -> np.ndarray:
+        fp = self.have.get(key)
+        if fp is not None:
+            self.have.move_to_end(key)
+            return fp
+        f = self.files.get(name)
+        if f is None:
+            f = self.files[name] = self.system.open_input_file(f"{self.path}/{name}")
+            if len(self.files) > 64:
+                self.files.popitem(last=False)[1].close()
+        fp = self.have[key] = np.frombuffer(f.read_at(4 * n, at), np.uint32)
+        self.size += fp.nbytes
+        while self.size > self.kept and len(self.have) > 1:
+            self.size -= self.have.popitem(last=False)[1].nbytes
+        return fp
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of what is written meanwhile go when it is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def links(media: DataFrame, id_col: str = "doc_id", media_col: str = "text", reader: Callable = from_words, limit: float = BIT_ERROR, min_frames: int = MIN_FRAMES, min_share: float = MIN_SHARE, broadcast_ids: int = BROADCAST_IDS, chunk: int = CHUNK, bucket: int = BUCKET, part: int = SLICE, few: int = FEW) -> DataFrame:
+    """(doc_id, class_id, links) of every row.
+
+    ``links`` is the number of other rows that :func:`matches` finds for the recording, at
+    whichever offset and copies included; ``class_id`` the least id of all that are connected
+    by links, its own if there are none.  Every two recordings that share a posting are
+    compared where it plays, as there.
+
+    Null, empty and short media link nothing and are classes of their own; a null id is the
+    least; repeated rows are rows each, and link each other; an empty table gives no rows; other
+    columns are ignored.  ``media`` must give the same rows when it is read again.
+    """
+    spark = media.sparkSession
+    kind = "binary" if reader is from_binary else "string"
+    content = fr.col(media, media_col).cast(kind)
+    rows = media.select(fr.col(media, id_col).cast("bigint").alias("doc_id"), F.xxhash64(content).alias("th"), content.alias("text"))
+    # a frame is some eight bytes
+    total = max(1, (media.agg(F.sum(F.octet_length(content))).first()[0] or 0) // 8)
+    top = max(0, math.ceil(math.log2(total / bucket)))
+    bits = max(32, math.ceil(math.log2(total)) + SPARE) - top
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, heads, frames = TaskContext.get().partitionId() << 20, [], [], 0
+
+        def full() -> Iterator[pa.RecordBatch]:
+            v, who, at = chunk_postings(held)
+            v >>= np.uint64(64 - top - bits)
+            which, own = (v >> np.uint64(bits)).astype(np.int64), v & np.uint64((1 << bits) - 1)
+            edge = np.searchsorted(which, np.arange((1 << top) + 1)).tolist()
+            out: list[tuple] = []
+            for k in np.unique(which).tolist():
+                s, e = edge[k], edge[k + 1]
+                x = (np.diff(own[s:e], prepend=np.uint64(0)), who[s:e], at[s:e])
+                out.append((k, number, e - s, [max(1, (int(c.max()).bit_length() + 7) // 8) for c in x], *map(_packed, x)))
+            # what is known of the recordings goes to a bucket of its own
+            doc, th, fh = (pa.concat_arrays(c) for c in zip(*heads))
+            size = np.array([len(f) for f in held], np.int64)
+            known = np.stack([doc.is_valid().to_numpy(False).astype(np.int64), doc.fill_null(0).to_numpy(), th.to_numpy(), fh.to_numpy(), size])
+            out.append((-1 - hash(number) % 1021, number, len(size), [], known.tobytes(), b"", b""))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["bucket", "chunk", "n", "bytes", "v", "who", "at"])
+
+        for piece in tx.pieces(batches, "text", PIECE):
+            fps = [f if len(f) > AHEAD else f[:0] for f in fingerprints(*reader(piece.column(2)))]
+            held += [f.copy() for f in fps]
+            heads.append((piece.column(0), piece.column(1), pa.array([_identity(f) for f in fps], pa.int64())))
+            frames += sum(map(len, fps))
+            if frames >= chunk or len(held) >= 1 << 20:
+                yield from full()
+                held, heads, frames, number = [], [], 0, number + 1
+        if held:
+            yield from full()
+
+    made = ["no", "doc_id", "th", "fh", "n", "list", "at"]
+
+    def meet(t: pa.Table) -> pa.Table:
+        number, count = t["chunk"].to_pylist(), t["n"].to_pylist()
+        if t["bucket"][0].as_py() < 0:
+            valid, doc, th, fh, size = np.concatenate([np.frombuffer(v, np.int64).reshape(5, -1) for v in t["v"].to_pylist()], axis=1)
+            no = np.concatenate([(c << 22) + np.arange(n) for c, n in zip(number, count)])
+            return pa.table([pa.array(no), pa.array(doc, mask=valid == 0), pa.array(th), pa.array(fh), pa.array(size), *[pa.nulls(len(no), pa.int64())] * 2], names=made)
+        wide = t["bytes"].to_pylist()
+        v, who, at = ([_unpacked(r, n, w[i]) for r, n, w in zip(t[c].to_pylist(), count, wide)] for i, c in enumerate(("v", "who", "at")))
+        v, no, at = np.concatenate([np.cumsum(x) for x in v]), np.concatenate([(c << 22) + x for c, x in zip(number, who)]), np.concatenate(at)
+        which, no, at = shared(v, no, at)
+        none = [pa.nulls(len(no), pa.int64())] * 4
+        return pa.table([pa.array(no), *none, pa.array(which + (t["bucket"][0].as_py() << 32)), pa.array(at)], names=made)
+
+    with _cleaned(spark):
+        sent = rows.mapInArrow(spread, "bucket bigint, chunk bigint, n bigint, bytes array<int>, v binary, who binary, at binary")
+        found = fr.cut(sent.groupBy("bucket").applyInArrow(meet, ", ".join(f"{c} bigint" for c in made)))
+        heads = found.filter("list is null").select("no", "doc_id", "th", "fh", "n")
+        reps = heads.filter("n > 0").groupBy("fh").agg(F.min(F.struct("doc_id", "th", "no")).alias("r"), F.count(F.lit(1)).alias("copies"))
+        reps = fr.cut(reps.select("fh", "r.doc_id", "r.th", F.col("r.no").alias("rep"), "copies"))
+        # copies are one, and what they share among themselves is no list
+        known = heads.filter("n > 0").join(reps.select("fh", "rep"), "fh").select("no", "rep")
+        members = found.filter("list is not null").select("list", "no", "at").join(known, "no").select("list", "rep", "at").distinct()
+        lists = members.groupBy("list").agg(F.sort_array(F.collect_list(F.struct("rep", "at"))).alias("m")).filter("m[0].rep < m[size(m) - 1].rep")
+        lists = lists.select(F.expr("transform(m, x -> struct(x.rep as rep, x.at - m[0].at as at))").alias("m")).distinct()
+        lists = fr.cut(lists.withColumn("list", F.monotonically_increasing_id()))
+        heads = fr.cut(heads.select("doc_id", "fh", "n"))
+        fr.drop(found)
+        wanted = fr.cut(lists.select(F.explode("m.rep").alias("rep")).distinct().join(reps, "rep").select("rep", "copies", F.col("doc_id").alias("d"), F.col("th").alias("t")))
+
+        fold = f"{fr.shared_dir(spark)}/dagbag-{uuid.uuid4().hex}"
+        system, path = pafs.FileSystem.from_uri(fold)
+        system.create_dir(path)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces = tx.pieces(batches, "text", PIECE)
+            fps = ((key, f) for p in pieces for key, f in zip(p.column(0).to_pylist(), fingerprints(*reader(p.column(1)))))
+            out = list(_kept(fold, uuid.uuid4().hex, fps))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["rep", "file", "first", "n"])
+
+        few_wanted = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
+        some = rows.join(few_wanted, F.expr("th = t and doc_id <=> d")).select("rep", "text")
+        # of equal rows one will do
+        where = some.mapInArrow(keep, "rep bigint, file string, first bigint, n bigint").groupBy("rep").agg(F.min(F.struct("file", "first", "n")).alias("w"))
+        where = fr.cut(where.join(wanted, "rep").select("rep", "copies", "w.*"))
+
+        # lists of very many are cut into slices, every two of which meet
+        size = F.size("m")
+        work = lists.agg(F.sum(size * size / 2)).first()[0] or 0
+        slices = F.ceil(size / part)
+        each = lists.select("list", F.col("m")[0]["rep"].alias("part"), slices.alias("s"), F.posexplode("m").alias("i", "p")).withColumn("own", F.col("i") % F.col("s"))
+        each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s") - 1)))
+        pair = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+        each = each.select(F.when(F.col("s") > 1, F.xxhash64("list", *pair)).otherwise(F.col("part")).alias("part"), "list", *pair, (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("p.rep").alias("rep"), F.col("p.at").alias("at"))
+        each = each.join(where, "rep").select("part", "list", "i", "j", "side", "rep", "at", "copies", "file", "first", "n")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / TASK))
+        each = each.repartition(tasks, "part").sortWithinPartitions("part", "list", "i", "j")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shelf = Shelf(fold)
+            use: dict[int, tuple[int, int, np.ndarray]] = {}
+            pairs: list[np.ndarray] = []
+
+            def least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                return np.minimum(min_frames, min_share * np.minimum(x, y))
+
+            def item(rows: list[tuple]) -> None:
+                own = [use.get(r[5]) or use.setdefault(r[5], (len(use), r[7], shelf.get(r[5], *r[8:]))) for r in rows]
+                keys, side, at = (np.array([r[k] for r in rows]) for k in (5, 4, 6))
+                fps, which = [f for _, _, f in own], np.array([k for k, _, _ in own])
+                i, j = np.triu_indices(len(rows), 1)
+                if len(rows) > few:
+                    n = np.array([len(f) for f in fps])
+                    # the least frame that all have, at these offsets
+                    may = bound(fps, at - at.min(), side, limit)[i, j] >= needed(least(n[i], n[j]), limit)
+                    i, j = i[may], j[may]
+                if side.any():
+                    i, j = (x[side[i] != side[j]] for x in (i, j))
+                i, j = np.where(keys[i] < keys[j], i, j), np.where(keys[i] < keys[j], j, i)
+                i, j = (x[keys[i] != keys[j]] for x in (i, j))
+                pairs.append(np.stack([which[i], which[j], at[j] - at[i]]))
+
+            def full() -> Iterator[pa.RecordBatch]:
+                keys, copies, fps = np.array(list(use)), np.array([c for _, c, _ in use.values()]), [f for _, _, f in use.values()]
+                n = np.array([len(f) for f in fps])
+                x, y, off = (p := np.concatenate(pairs, axis=1))[:, np.lexsort(p)]
+                once = np.append(True, (np.diff(x) != 0) | (np.diff(y) != 0) | (np.diff(off) != 0))[: len(x)]
+                x, y, off = x[once], y[once], off[once]
+                frames, play = aligned(fps, x, y, off, limit)
+                good = play & (frames > 0) & (frames >= least(n[x], n[y]))
+                x, y = np.divmod(np.unique(x[good] * len(n) + y[good]), len(n))
+                root, tree = list(range(len(n))), np.zeros(len(x), bool)
+                for k, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
+                    while root[a] != a:
+                        root[a] = a = root[root[a]]
+                    while root[b] != b:
+                        root[b] = b = root[root[b]]
+                    if a != b:
+                        tree[k], root[max(a, b)] = True, min(a, b)
+                use.clear()
+                pairs.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[x], keys[y], copies[x], copies[y], tree)], ["a", "b", "na", "nb", "tree"])
+
+            rows: list[tuple] = []
+            for b in batches:
+                for r in zip(*(c.to_pylist() for c in b.columns)):
+                    if rows and r[:4] != rows[-1][:4]:
+                        item(rows)
+                        rows.clear()
+                        if sum(p.shape[1] for p in pairs) > PAIRS or len(use) > 4 * part:
+                            yield from full()
+                    rows.append(r)
+            if rows:
+                item(rows)
+                yield from full()
+
+        hits = fr.cut(each.mapInArrow(compare, "a bigint, b bigint, na bigint, nb bigint, tree boolean"))
+        system.delete_dir(path)
+        # the trees of all tasks connect what the links connect
+        stars = star_forest(hits.filter("tree").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        both = F.array(F.struct(F.col("a").alias("rep"), F.col("nb").alias("n")), F.struct(F.col("b").alias("rep"), F.col("na").alias("n")))
+        count = hits.select("a", "b", "na", "nb").distinct().select(F.explode(both).alias("x")).groupBy("x.rep").agg(F.sum("x.n").alias("links"))
+        groups = reps.join(count, "rep", "left").join(stars.select(F.col("u").alias("rep"), F.col("v").alias("group")), "rep", "left")
+        groups = fr.cut(groups.select("fh", "doc_id", F.coalesce("group", "rep").alias("group"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+        fr.drop(hits)
+    least_id = groups.groupBy("group").agg(F.min(F.struct("doc_id")).alias("c"))
+    groups = groups.join(least_id, "group").select("fh", F.col("c.doc_id").alias("class_id"), "links")
+    some = heads.filter("n > 0").join(groups, "fh").select("doc_id", "class_id", "links")
+    return some.unionByName(heads.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("links")))

@@ -35,7 +35,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chroma.matches(read(spark, sf_dir, "documents"))
+    return chroma.links(read(spark, sf_dir, "documents"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

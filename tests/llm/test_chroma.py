@@ -182,3 +182,67 @@ def test_odd_rows(odd_docs, no_docs):
     clash = odd_docs.selectExpr("*", *CLASHES)
     assert {(r.doc_id, r.match_id, r.offset, r.bit_error) for r in chroma.matches(clash).collect()} == {(6, 1, 0, 0.0), (7, 7, 0, 0.0)}
     assert chroma.matches(no_docs).count() == 0
+
+
+def test_links_and_classes_are_those_of_all_matches(spark, odd_docs, no_docs):
+    r = random.Random(18)
+    short, parts = prose(40, 15), [prose(41 + k, 60).split(" ") for k in range(4)]
+    rows = [(None, prose(60, 40) + " " + short), (50, "a b"), (51, "a b"), (52, None), (53, "")]
+    for i in range(1, 25):
+        part = [w + "q" if r.random() < 0.04 else w for w in parts[i % 4]]
+        rows.append((i, " ".join([prose(70 + i, 5 * (i % 7) + 1), short, *part, prose(90 + i, 30)])))
+    rows += [(i + 30, rows[i + 4][1]) for i in (1, 2, 3, 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    fps = chroma.fingerprints(*chroma.from_words(pa.array([t for _, t in rows], pa.string())))
+    ids, near = [i for i, _ in rows], [{k} for k in range(len(rows))]
+    for a in range(len(rows)):
+        for b in range(a):
+            (u, i), (v, j) = (chroma.postings(fps[k]) for k in (a, b))
+            _, p, q = np.intersect1d(u, v, return_indices=True)
+            if any(chroma.align(fps[a], fps[b], o)[0] >= chroma.MIN_FRAMES for o in set((j[q] - i[p]).tolist())):
+                near[a].add(b), near[b].add(a)
+    of = {k: {k} for k in range(len(rows))}
+    for _ in rows:
+        of = {k: set().union(*(of[m] for m in near[k])) for k in of}
+    least = [min((ids[m] is not None, ids[m] or 0) for m in of[k]) for k in range(len(rows))]
+    want = sorted((str(i), str(c if known else None), len(n) - 1) for i, (known, c), n in zip(ids, least, near))
+    assert max(w[2] for w in want) > 5
+    # small chunks, buckets and slices, and a join for what is broadcast else
+    for more in ({}, {"chunk": 100, "bucket": 64, "part": 3, "few": 2, "broadcast_ids": 0}):
+        assert sorted((str(x.doc_id), str(x.class_id), x.links) for x in chroma.links(df, **more).collect()) == want
+    clash = odd_docs.selectExpr("*", *CLASHES)
+    got = {(x.doc_id, x.class_id, x.links) for x in chroma.links(clash).collect()}
+    assert {g for g in got if g[2]} == {(1, 1, 1), (6, 1, 1), (7, 7, 1)} and chroma.links(clash).count() == odd_docs.count()
+    assert chroma.links(no_docs).count() == 0
+
+
+def test_all_postings_of_a_query_take_little_disk():
+    # 22 million postings of 0.10 GB took more than 0.3 GB as rows; 1.5 x input is 7 bytes each
+    fps = chroma.fingerprints(*chroma.from_words(pa.array([prose(2000 + i, 400) for i in range(500)])))
+    v, who, at = chroma.chunk_postings(fps)
+    assert len(v) == sum(len(chroma.postings(f)[0]) for f in fps)
+    gaps = np.diff(v >> np.uint64(32), prepend=np.uint64(0))
+    for x in (gaps, who, at):
+        k = (int(x.max()).bit_length() + 7) // 8
+        assert (chroma._unpacked(chroma._packed(x), len(x), k) == x).all()
+    assert sum(len(chroma._packed(x)) for x in (gaps, who, at)) < 6 * len(v)
+
+
+def test_bound_leaves_out_no_pair_that_matches():
+    rng = np.random.default_rng(19)
+    for seed in range(40):
+        n = int(rng.integers(2, 90))
+        base = rng.integers(0, 2**32, 120, dtype=np.uint32)
+        fps, at = [], rng.integers(0, 20, 12)
+        for k in range(12):
+            noise = np.packbits(rng.random((140, 32)) < rng.choice([0.03, 0.1, 0.13, 0.2]), axis=1).view(np.uint32)[:, 0]
+            fps.append((np.concatenate([rng.integers(0, 2**32, 20, dtype=np.uint32)[: at[k]], base]) ^ noise[: at[k] + 120])[: at[k] + n])
+        at = np.minimum(at, [len(f) for f in fps])
+        i, j = np.triu_indices(12, 1)
+        size = np.array([len(f) for f in fps])
+        frames, _ = chroma.aligned(fps, i, j, at[j] - at[i])
+        assert frames.tolist() == [chroma.align(fps[a], fps[b], int(at[b] - at[a]))[0] for a, b in zip(i, j)]
+        least = np.minimum(24, 0.5 * np.minimum(size[i], size[j]))
+        for side in (np.zeros(12, int), np.arange(12) % 2):
+            may = chroma.bound(fps, at, side)[i, j] >= chroma.needed(least)
+            assert (may | (side.any() & (side[i] == side[j])) | (frames < least) | (frames == 0)).all()
