@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dagbag.operators.history import History
+from dagbag.plans.sizes import reads
 from dagbag.sources.git import Repositories
 
 #: The tables in SQL, to put in front of an oracle.
@@ -26,7 +27,9 @@ b as (select l_orderkey as node, p_brand as key1, cast(l_quantity as int) as key
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    path = f"{sf_dir}/{table}.parquet"
+    reads(spark, path)
+    return spark.read.parquet(path)
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from inspect import signature
 
 import pandas as pd
@@ -17,7 +18,7 @@ from dagbag.functions.groups import DOUBLE, map_add, map_invert, map_multiply
 from dagbag.operators import topology
 from dagbag.operators.changes import Changes
 from dagbag.operators.history import LINEAR, MEMOIZATION, History
-from dagbag.plans import delta, guard
+from dagbag.plans import delta, guard, sizes
 from dagbag.plans.lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -690,3 +691,16 @@ def repo_changes_from_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _name in ("topology_", "sum_"):
     QUERIES[_name.rstrip("_")] = QUERIES.pop(_name)
     ORACLE_SQL[_name.rstrip("_")] = ORACLE_SQL.pop(_name)
+
+
+def _sized(q: Query) -> Query:
+    """The query in a session with as many partitions as its tables need."""
+
+    @wraps(q)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return q(sizes.own(spark), sf_dir)
+
+    return run
+
+
+QUERIES.update({name: _sized(q) for name, q in QUERIES.items()})
